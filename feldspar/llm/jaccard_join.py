@@ -313,12 +313,13 @@ def jaccard_classes(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
     classes = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("smallest"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row"))["row"].alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = written(classes.withColumnRenamed("f1", "node"), new_dir(spark, "classes"))
     keyed = classes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
-    families = connected(keyed.join(shared, "key").select("node", "low"), "node", "low")
+    # both joins are merges at every size, with both sides read from tables, so that Spark may split a skewed side
+    shared = written(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low"), new_dir(spark, "shared-keys"))
+    families = connected(keyed.join(shared.hint("merge"), "key").select("node", "low"), "node", "low")
     families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
     members = written(families.join(classes.select("node", "row", "n"), "node"), new_dir(spark, "members"))
     chunks = members.groupBy("root").agg(F.ceil(F.sum("n") / chunk_hashes).cast("int").alias("chunks"))
-    members = members.join(chunks, "root").select("root", "node", "row", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
+    members = members.join(chunks, "root").select("root", "node", "row", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")).hint("merge")
     texts = rows.withColumn("row", row).join(members, "row").groupBy("row").agg(*(F.first(c).alias(c) for c in ("root", "node", "chunk", "chunks", "text")))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     tasks = texts.select("root", "node", "chunk", other.alias("other"), "text").select("root", "node", "text", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
