@@ -173,7 +173,7 @@ def front_matter(text: Column) -> Column:
 def markdown_tables(text: Column) -> Column:
     """Each table as an array of rows of cells, header first: a line with pipes, a separator line, then lines with pipes."""
     found = F.regexp_extract_all(text, F.lit(r"(?m)(^\|?[^\n|]+\|[^\n]*\n\|?[ :-]+-[-| :]*(?:\n[^\n]*\|[^\n]*)*)"), F.lit(1))
-    cells = lambda r: F.transform(F.split(F.regexp_replace(F.trim(r), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = lambda r: F.transform(F.split(F.regexp_replace(F.trim(r), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     return F.transform(found, lambda t: F.transform(F.filter(F.split(t, "\n"), lambda r, i: i != 1), cells))
 
 
