@@ -25,17 +25,17 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feldspar.llm.common import SPACE, SPACE_CHARS, new_dir, written
+from feldspar.llm.common import SPACE, SPACE_CHARS, new_dir, remove, written
 from feldspar.llm.components import connected
 
-GROUPS, LEAF, FANOUT, ROUNDS, RATIO = 64, 64, 8, 6, 1.5
+GROUPS, LEAF, FANOUT, ROUNDS, RATIO = 64, 64, 8, 6, 1.8
 SEGMENT, U64 = 1 << 20, np.uint64
 _random = np.random.default_rng(20240229)
 _BYTES = _random.integers(0, 1 << 63, 256, dtype="u8") * U64(2) + U64(1)
@@ -286,11 +286,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view("i8")
 
 
-def jaccard_classes(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, chunk_hashes: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, chunk_hashes: int = 8_000_000, passes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (of equal sets), component_id, row (its hash) and keeper (the row hash of the one to keep), for each row of ``docs``.
 
     Two documents link when den * intersection >= num * union. ``chunk_hashes`` bounds the sets that one side of a
-    family task holds (a single larger set is a chunk of its own).
+    family task holds (a single larger set is a chunk of its own); keys are shuffled in ``passes`` ranges.
     """
     spark, t = docs.sparkSession, Threshold(num, den)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
@@ -310,12 +310,19 @@ def jaccard_classes(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
 
     sets = written(rows.withColumn("row", row).mapInArrow(hashed, "id long, row long, n long, f1 long, f2 long, keys array<bigint>"), new_dir(spark, "shingles"))
     # one row a class; node: the class's 64-bit print
-    classes = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("smallest"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row"))["row"].alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("smallest"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row"))["row"].alias("row"), F.first("n").alias("n"))
     classes = written(classes.withColumnRenamed("f1", "node"), new_dir(spark, "classes"))
-    keyed = classes.select("node", F.explode("keys").alias("key"))
-    # both joins are merges at every size, with both sides read from tables, so that Spark may split a skewed side
-    shared = written(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low"), new_dir(spark, "shared-keys"))
-    families = connected(keyed.join(shared.hint("merge"), "key").select("node", "low"), "node", "low")
+    # documents of one class have the same node and keys, which the aggregation before the shuffle folds; ranges of keys
+    # go one after the other, so that a range's shuffles bound the disk; the join is a merge of two tables at every size,
+    # so that Spark may split a skewed side
+    found = []
+    for p in range(passes):
+        keyed = sets.select(F.col("f1").alias("node"), F.explode(F.filter("keys", lambda x: F.pmod(x, F.lit(passes)) == F.lit(p))).alias("key"))
+        low, path = F.min("node").alias("low"), new_dir(spark, "shared-keys")
+        shared = written(keyed.groupBy("key").agg(low, F.max("node").alias("high")).where("low <> high").select("key", "low"), path)
+        found.append(written(keyed.join(shared.hint("merge"), "key").where("node <> low").select("node", "low").distinct(), new_dir(spark, "met")))
+        remove(spark, path)
+    families = connected(reduce(DataFrame.unionByName, found), "node", "low")
     families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
     members = written(families.join(classes.select("node", "row", "n"), "node"), new_dir(spark, "members"))
     chunks = members.groupBy("root").agg(F.ceil(F.sum("n") / chunk_hashes).cast("int").alias("chunks"))
