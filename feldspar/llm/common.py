@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from array import array
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,9 +40,22 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/feldspar/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that drops a query's shuffle files once the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, and survives the loss of any executor."""
-    df.write.parquet(path)
+    """``df`` as a table in the shared folder: cuts lineage, and survives the loss of any executor.
+
+    The shuffle files that made it go as soon as it is complete, so a job's disk holds one step's shuffles at a time.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -64,15 +78,18 @@ class WordEncoder:
     that make it part of a token.
     """
 
-    MAX_KEPT, MAX_CHUNK = 900_000, 64
-    #: A full stop or comma that ends a chunk is a token of its own after an ASCII letter or digit.
-    ENDS = re.compile(rb"(?<=[a-z0-9])[.,](?![^ \t-\r])")
+    MAX_KEPT, MAX_CHUNK = 700_000, 64
+    #: Punctuation that ends a chunk is a token of its own after an ASCII letter or digit.
+    ENDS = re.compile(rb"(?<=[a-z0-9])[.,;:!?#$%&*]+(?![^ \t-\r])")
+    #: Elsewhere than after such a letter or digit, or a letter of U+00C0..U+00FF.
+    JOINED = re.compile(rb"(?:[^a-z0-9 \t-\r\x80-\xBF]|[^\xC3][\x80-\xBF]|\xC3[\x97\xB7])[.,][ \n]|[!?#$%&*]")
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_str(spec), {}
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.kept = _Kept(self.tokenizer, self.MAX_CHUNK)
 
     @classmethod
     def of(cls, spec: str) -> "WordEncoder":
@@ -83,23 +100,34 @@ class WordEncoder:
         return _encoders[key]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of each UTF-8 text as little-endian unsigned 32-bit integers; a null text has none."""
-        import numpy as np
-
-        if len(self.kept) > self.MAX_KEPT:
-            self.kept.clear()
-        kept, out = self.kept, []
+        """Ids of each UTF-8 text as unsigned 32-bit integers of this machine's order; a null text has none."""
+        kept, get, out = self.kept, self.kept.__getitem__, []
+        if len(kept) > self.MAX_KEPT:
+            kept.clear()
         for t in texts:
-            chunks = self.ENDS.sub(rb" \g<0>", (t or b"").lower()).split()  # bytes: only ASCII case and white space
-            if new := [c for c in set(chunks) if c not in kept]:
-                found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-                kept.update(zip(new, [np.array(e.ids, "<u4").tobytes() for e in found], strict=True))
-            out.append(b"".join(map(kept.__getitem__, chunks)))
-            for c in [c for c in new if len(c) > self.MAX_CHUNK]:
-                del kept[c]
+            t = (t or b"").lower()  # bytes: only ASCII case and white space
+            if self.JOINED.search(t):
+                t = self.ENDS.sub(rb" \g<0>", t)
+            else:
+                t = t.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n").replace(b",\n", b" ,\n")
+            out.append(b"".join(map(get, t.split())))
         return out
 
 
+class _Kept(dict):
+    """Ids by chunk; looks up what it doesn't have."""
+
+    def __init__(self, tokenizer, longest: int):
+        super().__init__()
+        self.tokenizer, self.longest = tokenizer, longest
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = array("I", self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        if len(chunk) <= self.longest:
+            self[chunk] = ids
+        return ids
+
+
 def read_text(path: str) -> str:
     """A tokenizer's file (a few MB, whatever the data), read once on the driver and shipped to the workers."""
     with open(path, encoding="utf-8") as f:

@@ -38,9 +38,9 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, depth: int | None = None) -> "WaveletMatrix":
         ids = np.asarray(ids, "u4")
         depth = depth or max(1, int(ids.max(initial=0)).bit_length())
-        planes, zeros, cur = [], [], ids
+        planes, zeros, cur = [], [], ids.astype("u2") if depth <= 16 else ids
         for level in range(depth - 1, -1, -1):
-            bit = (cur >> np.uint32(level)) & np.uint32(1) != 0
+            bit = (cur & cur.dtype.type(1 << level)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
             zeros.append(int(len(bit) - np.count_nonzero(bit)))
             cur = np.concatenate([cur[~bit], cur[bit]])
@@ -122,14 +122,14 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, from the lowest plane up: each plane's partition is undone on the bits gathered so far."""
-        value = np.zeros(self.n, "u4")
+        value = np.zeros(self.n, "u2" if self.depth <= 16 else "u4")
         for level in range(self.depth - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            shift, z, out = np.uint32(1 << (self.depth - 1 - level)), self.zeros[level], np.empty(self.n, "u4")
+            z, out = self.zeros[level], np.empty_like(value)
             out[~bit] = value[:z]
-            out[bit] = value[z:] | shift
+            out[bit] = value[z:] | value.dtype.type(1 << (self.depth - 1 - level))
             value = out
-        return value
+        return value.astype("u4")
 
 
 SHARD_SCHEMA = "part int, shard int, first long, doc_ids array<bigint>, lengths array<bigint>, n_tokens long, matrix binary"
