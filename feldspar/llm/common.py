@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -56,6 +57,8 @@ def written(df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(CLEANUP, before)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner drops what no plan of the driver refers to
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache, reduce
 
 import numpy as np
@@ -189,12 +189,16 @@ def band_keys(s: np.ndarray, t: Threshold) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, "u8")
 
 
+def point(s: np.ndarray) -> np.ndarray:
+    """A set's counts by group."""
+    return np.bincount((s >> U64(58)).astype("i8"), minlength=GROUPS).astype("<i4")
+
+
 class Tree:
     """An R-tree of count vectors: boxes by their upper corners and their least and largest set sizes."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets])
-        self.points = np.stack([np.bincount((s >> U64(58)).astype("i8"), minlength=GROUPS) for s in sets]).astype("i4")
+    def __init__(self, points: np.ndarray):
+        self.sizes, self.points = points.sum(axis=1, dtype="i8"), points.astype("i4")
         order: list[np.ndarray] = []
         todo = [np.argsort(self.sizes, kind="stable")]
         while todo:  # halves along the coordinate of largest spread
@@ -258,13 +262,16 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
-def family_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, t: Threshold) -> list[tuple[int, int]]:
-    """Verified links that connect all that links connect; ``side``: False and True for two chunks, None for one."""
+def family_links(nodes: np.ndarray, points: np.ndarray, sets: list[np.ndarray] | None, side: np.ndarray | None, t: Threshold) -> list[tuple[int, int]]:
+    """Pairs that connect all that pairs which reach ``t`` connect, verified if ``sets`` are given, else by their points' bound.
+
+    ``side``: False and True for two chunks, None for one.
+    """
     first, second = (np.arange(len(nodes)),) * 2 if side is None else (np.flatnonzero(~side), np.flatnonzero(side))
     if not len(first) or not len(second):
         return []
-    a = Tree([sets[i] for i in first])
-    b = a if side is None else Tree([sets[i] for i in second])
+    a = Tree(points[first])
+    b = a if side is None else Tree(points[second])
     up, links = list(range(len(nodes))), []
 
     def root(i: int) -> int:
@@ -276,7 +283,7 @@ def family_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | N
     for x, y in tree_join(a, b, t):
         for i, j in zip(first[x].tolist(), second[y].tolist(), strict=True):
             p, q = root(i), root(j)
-            if p != q and t.reached(overlap(sets[i], sets[j]), len(sets[i]) + len(sets[j])):
+            if p != q and (sets is None or t.reached(overlap(sets[i], sets[j]), len(sets[i]) + len(sets[j]))):
                 up[max(p, q)] = min(p, q)
                 links.append((int(nodes[i]), int(nodes[j])))
     return links
@@ -286,6 +293,47 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view("i8")
 
 
+def _with_roots(labels: DataFrame) -> DataFrame:
+    """node, root: roots, too, have a row."""
+    return labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _family_tasks(members: DataFrame, read: Callable, t: Threshold, chunk_hashes: int) -> DataFrame:
+    """a, b: family_links of each family of ``members`` (root, node, n, data); ``read`` makes points and sets of data."""
+    chunks = members.groupBy("root").agg(F.ceil(F.sum("n") / chunk_hashes).cast("int").alias("chunks"))
+    of = members.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    tasks = of.select("root", "node", "chunk", other.alias("other"), "data").select("root", "node", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "data")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, points, sets, side = None, [], [], [], []
+
+        def links() -> pa.RecordBatch:
+            found = family_links(np.array(nodes), np.stack(points), sets or None, None if now[1] == now[2] else np.array(side), t)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                roots, own, c, i, j = (part.column(x).to_pylist() for x in ("root", "node", "chunk", "i", "j"))
+                new_points, new_sets = read(part.column("data").to_pylist())
+                for k in range(part.num_rows):
+                    if (key := (roots[k], i[k], j[k])) != now:
+                        if now and len(nodes) > 1:
+                            yield links()
+                        now, nodes, points, sets, side = key, [], [], [], []
+                    nodes.append(own[k])
+                    points.append(new_points[k])
+                    side.append(c[k] == j[k])
+                    if new_sets is not None:
+                        sets.append(new_sets[k])
+        if now and len(nodes) > 1:
+            yield links()
+
+    dealt = tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return dealt.mapInArrow(linked, "a long, b long")
+
+
 def jaccard_classes(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, chunk_hashes: int = 8_000_000, passes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (of equal sets), component_id, row (its hash) and keeper (the row hash of the one to keep), for each row of ``docs``.
 
@@ -306,11 +354,11 @@ def jaccard_classes(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
                 keys = [_signed(np.unique(band_keys(s, t))) for s in sets]
                 ends = np.cumsum([0, *map(len, keys)])
                 listed = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(prints[:, 0].copy())), pa.array(_signed(prints[:, 1].copy())), listed], names=["id", "row", "n", "f1", "f2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(prints[:, 0].copy())), pa.array(_signed(prints[:, 1].copy())), pa.array([point(s).tobytes() for s in sets], pa.binary()), listed], names=["id", "row", "n", "f1", "f2", "point", "keys"])
 
-    sets = written(rows.withColumn("row", row).mapInArrow(hashed, "id long, row long, n long, f1 long, f2 long, keys array<bigint>"), new_dir(spark, "shingles"))
+    sets = written(rows.withColumn("row", row).mapInArrow(hashed, "id long, row long, n long, f1 long, f2 long, point binary, keys array<bigint>"), new_dir(spark, "shingles"))
     # one row a class; node: the class's 64-bit print
-    classes = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("smallest"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row"))["row"].alias("row"), F.first("n").alias("n"))
+    classes = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("smallest"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row"))["row"].alias("row"), F.first("n").alias("n"), F.min("point").alias("point"))
     classes = written(classes.withColumnRenamed("f1", "node"), new_dir(spark, "classes"))
     # documents of one class have the same node and keys, which the aggregation before the shuffle folds; ranges of keys
     # go one after the other, so that a range's shuffles bound the disk; the join is a merge of two tables at every size,
@@ -323,39 +371,17 @@ def jaccard_classes(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
         found.append(written(keyed.join(shared.hint("merge"), "key").where("node <> low").select("node", "low").distinct(), new_dir(spark, "met")))
         remove(spark, path)
     families = connected(reduce(DataFrame.unionByName, found), "node", "low")
-    families = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
-    members = written(families.join(classes.select("node", "row", "n"), "node"), new_dir(spark, "members"))
-    chunks = members.groupBy("root").agg(F.ceil(F.sum("n") / chunk_hashes).cast("int").alias("chunks"))
-    members = members.join(chunks, "root").select("root", "node", "row", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")).hint("merge")
-    texts = rows.withColumn("row", row).join(members, "row").groupBy("row").agg(*(F.first(c).alias(c) for c in ("root", "node", "chunk", "chunks", "text")))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    tasks = texts.select("root", "node", "chunk", other.alias("other"), "text").select("root", "node", "text", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets, side = None, [], [], []
-
-        def links() -> pa.RecordBatch:
-            one = now[1] == now[2]
-            found = family_links(np.array(nodes), sets, None if one else np.array(side), t)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+    # what shares keys is loose: the points' trees, which take little room, leave the families whose texts are compared
+    loose = _with_roots(families).join(classes.select("node", "n", F.col("point").alias("data")), "node")
+    close = connected(written(_family_tasks(loose, lambda x: (np.frombuffer(b"".join(x), "<i4").reshape(-1, GROUPS), None), t, chunk_hashes), new_dir(spark, "close")), "a", "b")
+    members = written(_with_roots(close).join(classes.select("node", "n", "row"), "node"), new_dir(spark, "members"))
+    texts = rows.withColumn("row", row).join(members.hint("merge"), "row").groupBy("row").agg(*(F.first(c).alias(c) for c in ("root", "node", "n")), F.first("text").alias("data"))
 
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                roots, own, c, i, j = (part.column(x).to_pylist() for x in ("root", "node", "chunk", "i", "j"))
-                for k, s in enumerate(shingle_sets(part.column("text").to_pylist(), words)):
-                    if (key := (roots[k], i[k], j[k])) != now:
-                        if now and len(nodes) > 1:
-                            yield links()
-                        now, nodes, sets, side = key, [], [], []
-                    nodes.append(own[k])
-                    sets.append(s)
-                    side.append(c[k] == j[k])
-        if now and len(nodes) > 1:
-            yield links()
+    def of_texts(x: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        sets = shingle_sets(x, words)
+        return np.stack([point(s) for s in sets]), sets
 
-    dealt = tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = dealt.select("root", "node", "chunk", "i", "j", "text").mapInArrow(linked, "a long, b long")
+    links = written(_family_tasks(texts, of_texts, t, chunk_hashes), new_dir(spark, "links"))
     parts = connected(links, "a", "b")
     rooted = classes.select("node", "smallest", F.col("row").alias("class_row")).join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"), F.min(F.struct(F.col("smallest").isNull().alias("z"), "smallest", "class_row"))["class_row"].alias("keeper"))

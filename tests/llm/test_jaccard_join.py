@@ -87,7 +87,7 @@ def test_tree_finds_all():
     r, t = np.random.default_rng(6), jj.Threshold(80, 100)
     base = r.integers(0, 1 << 63, (6, 120), dtype="u8")
     sets = [np.unique(np.concatenate([base[i % 6][int(r.integers(0, 25)) :], r.integers(0, 1 << 63, int(r.integers(0, 15)), dtype="u8")])) for i in range(500)]
-    tree = jj.Tree(sets)
+    tree = jj.Tree(np.stack([jj.point(s) for s in sets]))
     got = {(min(i, j), max(i, j)) for x, y in jj.tree_join(tree, tree, t) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
     want = {(i, j) for i in range(500) for j in range(i + 1, 500) if t.reached(jj.overlap(sets[i], sets[j]), len(sets[i]) + len(sets[j]))}
     assert want <= got and len(got) < 125_000
