@@ -8,7 +8,8 @@ import re
 import tempfile
 import uuid
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +38,35 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_noted: list[list[str]] = []
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/feldspar/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/feldspar/{name}-{uuid.uuid4().hex}"
+    for paths in _noted:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def noted_dirs() -> Iterator[list[str]]:
+    """The list of the folders that ``new_dir`` gives out within the block."""
+    _noted.append([])
+    try:
+        yield _noted[-1]
+    finally:
+        _noted.pop()
+
+
+def read_paths(df: DataFrame) -> list[str]:
+    """Roots of the files that ``df`` reads; none of them is listed or opened."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            out += [roots.apply(j).toString() for j in range(roots.size())]
+    return out
 
 
 #: Spark's setting that drops a query's shuffle files once the query has ended.
@@ -84,8 +112,9 @@ class WordEncoder:
     MAX_KEPT, MAX_CHUNK = 700_000, 64
     #: Punctuation that ends a chunk is a token of its own after an ASCII letter or digit.
     ENDS = re.compile(rb"(?<=[a-z0-9])[.,;:!?#$%&*]+(?![^ \t-\r])")
-    #: Elsewhere than after such a letter or digit, or a letter of U+00C0..U+00FF.
-    JOINED = re.compile(rb"(?:[^a-z0-9 \t-\r\x80-\xBF]|[^\xC3][\x80-\xBF]|\xC3[\x97\xB7])[.,][ \n]|[!?#$%&*]")
+    MARKS = re.compile(rb"[!?#$%&*]")
+    #: A full stop or comma elsewhere than after such a letter or digit, or a letter of U+00C0..U+00FF.
+    JOINED = re.compile(rb"[.,][ \n](?:(?<=[^a-z0-9 \t-\r\x80-\xBF][.,][ \n])|(?<=[^\xC3][\x80-\xBF][.,][ \n])|(?<=\xC3[\x97\xB7][.,][ \n]))")
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -109,7 +138,7 @@ class WordEncoder:
             kept.clear()
         for t in texts:
             t = (t or b"").lower()  # bytes: only ASCII case and white space
-            if self.JOINED.search(t):
+            if self.MARKS.search(t) or self.JOINED.search(t):
                 t = self.ENDS.sub(rb" \g<0>", t)
             else:
                 t = t.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n").replace(b",\n", b" ,\n")

@@ -356,20 +356,23 @@ def jaccard_classes(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
                 listed = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(prints[:, 0].copy())), pa.array(_signed(prints[:, 1].copy())), pa.array([point(s).tobytes() for s in sets], pa.binary()), listed], names=["id", "row", "n", "f1", "f2", "point", "keys"])
 
-    sets = written(rows.withColumn("row", row).mapInArrow(hashed, "id long, row long, n long, f1 long, f2 long, point binary, keys array<bigint>"), new_dir(spark, "shingles"))
+    keyed_path = new_dir(spark, "shingles")
+    with_keys = written(rows.withColumn("row", row).mapInArrow(hashed, "id long, row long, n long, f1 long, f2 long, point binary, keys array<bigint>"), keyed_path)
     # one row a class; node: the class's 64-bit print
-    classes = sets.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("smallest"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row"))["row"].alias("row"), F.first("n").alias("n"), F.min("point").alias("point"))
+    classes = with_keys.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("smallest"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row"))["row"].alias("row"), F.first("n").alias("n"), F.min("point").alias("point"))
     classes = written(classes.withColumnRenamed("f1", "node"), new_dir(spark, "classes"))
     # documents of one class have the same node and keys, which the aggregation before the shuffle folds; ranges of keys
     # go one after the other, so that a range's shuffles bound the disk; the join is a merge of two tables at every size,
     # so that Spark may split a skewed side
     found = []
     for p in range(passes):
-        keyed = sets.select(F.col("f1").alias("node"), F.explode(F.filter("keys", lambda x: F.pmod(x, F.lit(passes)) == F.lit(p))).alias("key"))
+        keyed = with_keys.select(F.col("f1").alias("node"), F.explode(F.filter("keys", lambda x: F.pmod(x, F.lit(passes)) == F.lit(p))).alias("key"))
         low, path = F.min("node").alias("low"), new_dir(spark, "shared-keys")
         shared = written(keyed.groupBy("key").agg(low, F.max("node").alias("high")).where("low <> high").select("key", "low"), path)
         found.append(written(keyed.join(shared.hint("merge"), "key").where("node <> low").select("node", "low").distinct(), new_dir(spark, "met")))
         remove(spark, path)
+    sets = written(with_keys.select("id", "row", "n", "f1"), new_dir(spark, "sets"))
+    remove(spark, keyed_path)  # the keys are most of this operator's disk, and nothing below reads them
     families = connected(reduce(DataFrame.unionByName, found), "node", "low")
     # what shares keys is loose: the points' trees, which take little room, leave the families whose texts are compared
     loose = _with_roots(families).join(classes.select("node", "n", F.col("point").alias("data")), "node")
