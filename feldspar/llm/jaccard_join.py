@@ -36,7 +36,7 @@ from feldspar.llm.common import SPACE, SPACE_CHARS, new_dir, remove, written
 from feldspar.llm.components import connected
 
 GROUPS, LEAF, FANOUT, ROUNDS, RATIO = 64, 64, 8, 6, 1.8
-SEGMENT, U64 = 1 << 20, np.uint64
+SEGMENT, COLUMNS, U64 = 1 << 20, 1 << 14, np.uint64
 _random = np.random.default_rng(20240229)
 _BYTES = _random.integers(0, 1 << 63, 256, dtype="u8") * U64(2) + U64(1)
 _BYTES[65:91] = _BYTES[97:123]
@@ -262,6 +262,45 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Common elements of each of ``left`` with each of ``right`` (sorted distinct arrays), by products of 0/1 blocks."""
+    both = np.sort(np.concatenate([_distinct(np.concatenate(left)), _distinct(np.concatenate(right))]))
+    shared = both[:-1][both[1:] == both[:-1]]
+    out = np.zeros((len(left), len(right)), "i8")
+    if not len(shared):
+        return out
+    sides = []
+    for sets in (left, right):
+        x, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(shared, x), len(shared) - 1)
+        hit = np.flatnonzero(shared[at] == x)
+        sides.append((len(sets), row[hit], at[hit]))
+    for start in range(0, len(shared), COLUMNS):
+        blocks = []
+        for n, row, at in sides:
+            block = np.zeros((n, min(COLUMNS, len(shared) - start)), "f4")
+            here = np.flatnonzero((at >= start) & (at < start + COLUMNS))
+            block[row[here], at[here] - start] = 1
+            blocks.append(block)
+        out += (blocks[0] @ blocks[1].T).astype("i8")
+    return out
+
+
+def verified(x: np.ndarray, y: np.ndarray, sets: list[np.ndarray], t: Threshold) -> np.ndarray:
+    """Which pairs (x, y) of places in ``sets`` reach ``t``; all pairs of two leaves at once where they are many."""
+    if len(x) < LEAF:
+        return np.array([t.reached(overlap(sets[i], sets[j]), len(sets[i]) + len(sets[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True)], bool)
+    (rows, at_x), (cols, at_y) = np.unique(x, return_inverse=True), np.unique(y, return_inverse=True)
+    left, right = [sets[i] for i in rows], [sets[j] for j in cols]
+    total = np.array([len(s) for s in left])[at_x] + np.array([len(s) for s in right])[at_y]
+    return t.reached(overlaps(left, right)[at_x, at_y], total)
+
+
 def family_links(nodes: np.ndarray, points: np.ndarray, sets: list[np.ndarray] | None, side: np.ndarray | None, t: Threshold) -> list[tuple[int, int]]:
     """Pairs that connect all that pairs which reach ``t`` connect, verified if ``sets`` are given, else by their points' bound.
 
@@ -281,9 +320,16 @@ def family_links(nodes: np.ndarray, points: np.ndarray, sets: list[np.ndarray] |
         return i
 
     for x, y in tree_join(a, b, t):
-        for i, j in zip(first[x].tolist(), second[y].tolist(), strict=True):
+        x, y = first[x], second[y]
+        if sets is not None:
+            tops = {i: root(i) for i in {*x.tolist(), *y.tolist()}}
+            apart = np.flatnonzero([tops[i] != tops[j] for i, j in zip(x.tolist(), y.tolist(), strict=True)])
+            x, y = x[apart], y[apart]
+            fits = verified(x, y, sets, t)
+            x, y = x[fits], y[fits]
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
             p, q = root(i), root(j)
-            if p != q and (sets is None or t.reached(overlap(sets[i], sets[j]), len(sets[i]) + len(sets[j]))):
+            if p != q:
                 up[max(p, q)] = min(p, q)
                 links.append((int(nodes[i]), int(nodes[j])))
     return links

@@ -124,3 +124,16 @@ def test_connected(spark):
         x, y = root(a), root(b)
         up[max(x, y)] = min(x, y)
     assert all(got.get(i, i) == root(i) for i in up)
+
+
+def test_overlaps_of_blocks_are_those_of_pairs(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(0, 300), dtype="u8") << np.uint64(50)) for _ in range(70)]
+    want = np.array([[jj.overlap(a, b) if len(a) and len(b) else 0 for b in sets[30:]] for a in sets[:30]])
+    for columns in (1 << 14, 7):
+        monkeypatch.setattr(jj, "COLUMNS", columns)
+        assert (jj.overlaps(sets[:30], sets[30:]) == want).all()
+    assert jj.overlaps([sets[0][:0]], [sets[1][:0]]).tolist() == [[0]]
+    t = jj.Threshold(80, 100)
+    x, y = (p.ravel() for p in np.meshgrid(np.arange(30), np.arange(30, 70), indexing="ij"))
+    assert jj.verified(x, y, sets, t).tolist() == [bool(t.reached(c, len(sets[i]) + len(sets[j]))) for i, j, c in zip(x, y, want.ravel(), strict=True)]
