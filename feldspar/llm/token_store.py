@@ -42,8 +42,9 @@ class WaveletMatrix:
         for level in range(depth - 1, -1, -1):
             bit = (cur & cur.dtype.type(1 << level)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            zeros.append(int(len(bit) - np.count_nonzero(bit)))
-            cur = np.concatenate([cur[~bit], cur[bit]])
+            low, high = np.flatnonzero(~bit), np.flatnonzero(bit)  # places, as they are several times faster than masks
+            zeros.append(len(low))
+            cur = np.concatenate([cur[low], cur[high]])
         return cls(len(ids), planes, zeros)
 
     def _directory(self, plane: np.ndarray) -> np.ndarray:
@@ -126,8 +127,8 @@ class WaveletMatrix:
         for level in range(self.depth - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             z, out = self.zeros[level], np.empty_like(value)
-            out[~bit] = value[:z]
-            out[bit] = value[z:] | value.dtype.type(1 << (self.depth - 1 - level))
+            out[np.flatnonzero(~bit)] = value[:z]
+            out[np.flatnonzero(bit)] = value[z:] | value.dtype.type(1 << (self.depth - 1 - level))
             value = out
         return value.astype("u4")
 
