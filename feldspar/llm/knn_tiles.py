@@ -8,8 +8,8 @@ vectors, summed in component order, and a query's best of all tiles are merged b
 
 Edge cases: vectors that are null, all zero, or hold null or non-finite components take no part, nor do rows with a null
 id; vectors compare with vectors of their own dimension only; ties go to the smaller id; a query never finds its own id;
-of rows with the same id the best is listed once. Of equal vectors in a tile only the k + 1 smallest ids are compared, as
-no other can be among the k nearest.
+of rows with the same id the best is listed once. Of equal vectors in a tile only the k + 1 smallest distinct ids are
+compared, as no other can be among the k nearest.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     order = np.lexsort((ids, *vectors.T[::-1]))
     ids, vectors = ids[order], vectors[order]
     new = np.concatenate([[True], (vectors[1:] != vectors[:-1]).any(axis=1)])
+    other = new | np.concatenate([[True], ids[1:] != ids[:-1]])  # not a repeat of the row before
+    ids, vectors, new = ids[other], vectors[other], new[other]
     starts = np.flatnonzero(new)
     keep = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids)))) <= k
     ids, vectors = ids[keep], vectors[keep]

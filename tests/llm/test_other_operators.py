@@ -182,6 +182,16 @@ def test_nearest(spark):
     assert knn_tiles.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_repeated_rows(spark):
+    # copies of one row take one of the k + 1 places of its group of equal vectors, on either side
+    rows = [(5, [1.0, 1.0])] * 30 + [(6, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [0.5, 1.0])] + [(3, [2.0, 2.0])] * 25 + [(9, [2.0, 2.0]), (20, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for q in knn_tiles.nearest(df, F.col("vec_id").isin(3, 20), k=4).orderBy("query_id", "rank").collect():
+        found[q.query_id].append((q.rank, q.vec_id, q.score))
+    assert found == {3: [(1, 9, 8.0), (2, 5, 4.0), (3, 6, 4.0), (4, 7, 4.0)], 20: [(1, 3, 2.0), (2, 9, 2.0), (3, 5, 1.0), (4, 6, 1.0)]}
+
+
 # compaction -----------------------------------------------------------------------------------------------------------
 
 
