@@ -276,6 +276,17 @@ def test_line_dedup_short_lines(spark):
         assert r.text.split("\n") == (own if r.doc_id == 0 else own[:1] + own[2:-1])  # nine documents are too few for 'rare 0'
 
 
+def test_line_dedup_constant_text(spark):
+    figures = ["1 2 3 4 5", "7 8 9 10 11", "12 of 13 14 15"]  # hardly any constant text: only equal rows recur
+    head, tail = words(8, 71).replace("12", "of"), words(6, 72).replace("12", "of")
+    left = [f"{head} {' '.join([x] * 6)}" for x in ("red", "blue")]
+    right = [f"{' '.join(tail.split()[:3])} {' '.join([x] * 5)} {tail}" for x in ("red", "blue")]
+    near = [" ".join((head + " " + tail).split()[:-1] + [x]) for x in ("one", "two")]
+    texts = [[figures[0], left[0], right[0], near[0]], [figures[1], left[1], right[1], near[1]], [figures[0], figures[2], figures[1] + " "]]
+    got = line_dedup.drop_recurring(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert [r.text.split("\n") for r in got.orderBy("doc_id").collect()] == [texts[0], texts[1][:-1], texts[2][1:2]]
+
+
 # classifier -----------------------------------------------------------------------------------------------------------
 
 
