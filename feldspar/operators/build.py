@@ -97,13 +97,12 @@ def stability(prior: DataFrame, types: DataFrame, close_after: int = 3) -> DataF
 def glossary_match(facts: DataFrame, forms: DataFrame) -> DataFrame:
     """fact_id, type, term: the first glossary group (pos, term, type, form) a form of which the text holds, whatever the case; else Topic.
 
-    Forms are looked up by their first token among the text's tokens, so that this is an equi-join.
+    A form may lie anywhere in the text, within words too. The forms are a glossary, so they are broadcast; each text is
+    compared with each form.
     """
-    first = lambda c: F.regexp_extract(F.lower(c), "[a-z0-9]+", 0)
-    words = facts.select("fact_id", F.lower("text").alias("t"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("w"))
-    f = forms.select("pos", "term", "type", F.lower("form").alias("form"), first(F.col("form")).alias("k")).where("form <> ''")
-    whole = f.join(words, f.k == words.w)  # the form starts at a token's start
-    hit = whole.where("contains(t, form)").groupBy("fact_id").agg(F.min_by(F.struct("term", "type"), "pos").alias("g"))
+    texts = facts.select("fact_id", F.lower("text").alias("t"))
+    f = forms.select("pos", "term", "type", F.lower("form").alias("form")).where("form <> ''")
+    hit = texts.join(F.broadcast(f), F.contains("t", "form")).groupBy("fact_id").agg(F.min_by(F.struct("term", "type"), "pos").alias("g"))
     return facts.select("fact_id").join(hit, "fact_id", "left").select("fact_id", F.coalesce("g.type", F.lit("Topic")).alias("type"), F.col("g.term").alias("term"))
 
 

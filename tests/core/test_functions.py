@@ -98,6 +98,13 @@ def test_build_is_incremental_and_reversible(spark):
     assert undone.entities.where("merged_into IS NOT NULL OR resolved_from IS NOT NULL").count() == 0
 
 
+def test_glossary_forms_match_anywhere(spark):
+    facts = spark.createDataFrame([("a", "Two Invoices came."), ("b", "An e-preinvoice."), ("c", "Der ΛΟΓΟΣ gilt"), ("d", "按发票付款"), ("e", "None of them.")], "fact_id string, text string")
+    forms = spark.createDataFrame([(1, "Invoice", "Document", "invoice"), (0, "Two", "Number", "o inv"), (2, "Logos", "Idea", "λογο"), (3, "Fapiao", "Receipt", "发票"), (4, "Empty", "Nothing", "")], "pos int, term string, type string, form string")
+    got = {r.fact_id: (r.type, r.term) for r in build.glossary_match(facts, forms).collect()}
+    assert got == {"a": ("Number", "Two"), "b": ("Document", "Invoice"), "c": ("Idea", "Logos"), "d": ("Receipt", "Fapiao"), "e": ("Topic", None)}
+
+
 def test_feedback_and_migration(spark):
     nodes = spark.createDataFrame([("n1", "person", "Ann", ["f1"]), ("n2", "place", "Ulm", ["f2"]), ("n3", "place", "Void", [])], "id string, kind string, label string, fact_ids array<string>")
     edges = spark.createDataFrame([("n1", "n2", "lives in", "confirmed", ["f1"]), ("n1", "n3", "sees", "claimed", ["f1"])], "source string, target string, kind string, fidelity string, fact_ids array<string>")
