@@ -40,9 +40,9 @@ def distance(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(1 - F.size(F.array_intersect(a, b)) / union)
 
 
-def drift(g: OntologyFrames) -> DataFrame:
-    """Executable units with a contract: baseline_steps, current_steps (sorted) and their distance."""
-    seen = g.events.groupBy("logic_unit_id").agg(F.array_sort(F.collect_set("step_id")).alias("current_steps"))
+def drift(g: OntologyFrames, current: DataFrame | None = None) -> DataFrame:
+    """Executable units with a contract: baseline_steps, current_steps (sorted; of ``current`` events, or all of the graph's) and their distance."""
+    seen = (g.events if current is None else current).groupBy("logic_unit_id").agg(F.array_sort(F.collect_set("step_id")).alias("current_steps"))
     none = F.array().cast("array<string>")
     c = g.lu_contracts.join(g.logic_units.where("state = 'executable'").select("logic_unit_id", "name"), "logic_unit_id").join(seen, "logic_unit_id", "left")
     c = c.select("logic_unit_id", "name", F.coalesce("baseline_steps", none).alias("baseline_steps"), F.coalesce("current_steps", none).alias("current_steps"))

@@ -180,6 +180,14 @@ def source_classify(spark, sf):
 
 # processes ------------------------------------------------------------------------------------------------------------
 
+#: The SQL of this part cuts the events by these fixed dates; the queries give its results.
+_BASELINE_END, _CURRENT_START = "2024-01-01 02:00:00", "2024-01-30 22:00:00"
+
+
+def _process_graph(spark, sf):
+    return process_graph(spark, sf, baseline_end=_BASELINE_END, since=_CURRENT_START)
+
+
 _EVENTS = "SELECT event_id, 'lu_'||(user_id % 10) AS lu, event_type AS step, ts, value FROM events"
 _STEPS = f"""WITH e AS ({_EVENTS}), n AS (SELECT lu, step, count(*) AS n FROM e GROUP BY 1, 2), c AS (SELECT DISTINCT lu, step FROM e WHERE ts >= TIMESTAMP '2024-01-30 22:00:00'),
  s AS (SELECT n.lu, n.step, n % 2 = 0 AS de_jure, n % 2 = 1 AS espoused, n % 7 = 0 AS conflict, c.lu IS NOT NULL AS de_facto FROM n LEFT JOIN c ON c.lu = n.lu AND c.step = n.step),
@@ -188,40 +196,40 @@ _STEPS = f"""WITH e AS ({_EVENTS}), n AS (SELECT lu, step, count(*) AS n FROM e
 
 @query(f"WITH e AS ({_EVENTS}) SELECT lu AS logic_unit_id, count(DISTINCT step) AS step_count, count(*) FILTER (ts >= TIMESTAMP '2024-01-30 22:00:00') AS event_count FROM e GROUP BY 1")
 def logic_units(spark, sf):
-    return process.logic_units(process_graph(spark, sf)).select("logic_unit_id", "step_count", "event_count")
+    return process.logic_units(_process_graph(spark, sf)).select("logic_unit_id", "step_count", "event_count")
 
 
 @query(f"{_STEPS} SELECT lu AS logic_unit_id, step AS step_id, de_jure, de_facto, espoused, conflict, status FROM t")
 def conformance(spark, sf):
-    return process.steps(process_graph(spark, sf)).select("logic_unit_id", "step_id", "de_jure", "de_facto", "espoused", "conflict", "status")
+    return process.steps(_process_graph(spark, sf)).select("logic_unit_id", "step_id", "de_jure", "de_facto", "espoused", "conflict", "status")
 
 
 @query(_STEPS + " SELECT lu AS logic_unit_id, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in process.STATUSES) + " FROM t GROUP BY 1")
 def conformance_summary(spark, sf):
-    return process.conformance_summary(process_graph(spark, sf))
+    return process.conformance_summary(_process_graph(spark, sf))
 
 
 @query(f"""WITH e AS ({_EVENTS}), b AS (SELECT lu, list(DISTINCT step) AS x FROM e WHERE ts < TIMESTAMP '2024-01-01 02:00:00' GROUP BY 1), c AS (SELECT lu, list(DISTINCT step) AS y FROM e WHERE ts >= TIMESTAMP '2024-01-30 22:00:00' GROUP BY 1),
  j AS (SELECT b.lu, x, coalesce(y, []) AS y FROM b LEFT JOIN c USING (lu) WHERE b.lu < 'lu_7'), d AS (SELECT lu, 1 - len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS drift FROM j)
  SELECT lu AS logic_unit_id, round(drift, 6) AS drift, CASE WHEN drift >= 0.35 THEN 'demote' WHEN drift >= 0.15 THEN 'alert' ELSE 'none' END AS action FROM d""")
 def drift(spark, sf):
-    d = process.drift(process_graph(spark, sf))
+    d = process.drift(_process_graph(spark, sf))
     return d.select("logic_unit_id", F.round("drift", 6).alias("drift"), process.drift_action(F.col("drift")).alias("action"))
 
 
 @query(f"{_STEPS} SELECT lu AS logic_unit_id, round(avg(de_facto::INT), 6) AS ratio FROM t GROUP BY 1")
 def eligibility(spark, sf):
-    return process.eligible(process_graph(spark, sf)).select("logic_unit_id", F.round("ratio", 6).alias("ratio"))
+    return process.eligible(_process_graph(spark, sf)).select("logic_unit_id", F.round("ratio", 6).alias("ratio"))
 
 
 @query(f"WITH e AS ({_EVENTS}), u AS (SELECT DISTINCT lu FROM e WHERE ts < TIMESTAMP '2024-01-01 02:00:00' AND lu < 'lu_7'), f AS (SELECT lu, greatest(0, CASE WHEN lu < 'lu_5' THEN CASE WHEN lu < 'lu_2' THEN 2 ELSE 3 END ELSE 1 END - CASE WHEN lu < 'lu_3' THEN 1 ELSE 0 END) AS low FROM u) SELECT 'logic_units.'||lu AS location FROM f WHERE 2 > low")
 def gate_autonomy(spark, sf):
-    return gates.autonomy(process_graph(spark, sf)).select("location")
+    return gates.autonomy(_process_graph(spark, sf)).select("location")
 
 
 @query(f"{_STEPS} SELECT 'logic_units.'||lu||'.'||step AS location FROM t WHERE lu < 'lu_7' AND conflict UNION ALL SELECT 'logic_units.'||lu||'.'||step FROM t WHERE lu < 'lu_7' AND NOT de_facto")
 def gate_eligibility(spark, sf):
-    return gates.eligibility(process_graph(spark, sf)).select("location")
+    return gates.eligibility(_process_graph(spark, sf)).select("location")
 
 
 # tables and JSON ------------------------------------------------------------------------------------------------------

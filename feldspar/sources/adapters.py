@@ -11,8 +11,8 @@ from feldspar.model import OntologyFrames
 
 #: type, table, key, label column, a numeric property.
 KINDS = (("region", "region", "r_regionkey", "r_name", None), ("nation", "nation", "n_nationkey", "n_name", None), ("customer", "customer", "c_custkey", "c_name", "c_acctbal"), ("supplier", "supplier", "s_suppkey", "s_name", "s_acctbal"), ("part", "part", "p_partkey", "p_name", "p_retailprice"), ("orders", "orders", "o_orderkey", "o_orderkey", "o_totalprice"))
-#: Tumbling marks that part the events into a baseline and a current period.
-BASELINE_END, CURRENT_START = "2024-01-01 02:00:00", "2024-01-30 22:00:00"
+#: The baseline and the current period of the events, unless given: this part of their time span, at either end.
+PERIOD = 1 / 360
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,17 +76,37 @@ def document_graph(spark: SparkSession, sf_dir: str) -> OntologyFrames:
     return OntologyFrames.of(spark, facts=facts, entities=entities, entity_props=values, entity_types=types, prop_schemas=props, resolutions=heads, sources=sources, security=spark.createDataFrame([("sec:other",)], "security_id string"))
 
 
-def process_graph(spark: SparkSession, sf_dir: str) -> OntologyFrames:
-    """Events by user as logic units whose steps are the event types; the baseline is the first hours' steps."""
-    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), F.concat(F.lit("lu_"), (F.col("user_id") % 10).cast("string")).alias("logic_unit_id"), F.col("event_type").alias("step_id"), "ts", "value")
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), F.concat(F.lit("lu_"), (F.col("user_id") % 10).cast("string")).alias("logic_unit_id"), F.col("event_type").alias("step_id"), "ts", "value")
+
+
+def _periods(e: DataFrame) -> DataFrame:
+    """The events, each with the end of the first PERIOD of all (__early) and the start of the last (__late)."""
+    part = (F.max("ts") - F.min("ts")) * PERIOD
+    ends = e.agg((F.min("ts") + part).alias("__early"), (F.max("ts") - part).alias("__late"))  # one row
+    return e.join(F.broadcast(ends), how="cross")
+
+
+def current_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of the last PERIOD, which drift compares with the baseline."""
+    return _periods(_events(spark, sf_dir)).where("ts >= __late").drop("__early", "__late")
+
+
+def process_graph(spark: SparkSession, sf_dir: str, *, baseline_end: str | None = None, since: str | None = None) -> OntologyFrames:
+    """Events by user as logic units whose steps are the event types; the baseline is the first PERIOD's steps, or those before ``baseline_end``.
+
+    The graph holds all events, or those from ``since`` on.
+    """
+    e = _events(spark, sf_dir)
     units = e.select("logic_unit_id").distinct().select("logic_unit_id", F.col("logic_unit_id").alias("name"), F.when(F.col("logic_unit_id") < "lu_7", "executable").otherwise("observed").alias("state"), F.when(F.col("logic_unit_id") < "lu_3", "judged").otherwise("measured").alias("trust_class"))
     pairs = e.select("logic_unit_id", "step_id").distinct()
     from pyspark.sql import Window
 
     steps = pairs.withColumn("pos", F.row_number().over(Window.partitionBy("logic_unit_id").orderBy("step_id")) - 1)
     evidence = e.groupBy("logic_unit_id", "step_id").agg(F.max("value").alias("m"), F.count("*").alias("n")).select("logic_unit_id", "step_id", F.lit(0).alias("pos"), F.when(F.col("n") % 2 == 0, "de_jure").otherwise("espoused").alias("class"), (F.col("n") % 7 == 0).alias("contradicts"))
-    base = e.where(F.col("ts") < F.lit(BASELINE_END).cast("timestamp_ntz")).groupBy("logic_unit_id").agg(F.array_sort(F.collect_set("step_id")).alias("baseline_steps"))
+    early = _periods(e).where("ts <= __early") if baseline_end is None else e.where(F.col("ts") < F.lit(baseline_end).cast("timestamp_ntz"))
+    base = early.groupBy("logic_unit_id").agg(F.array_sort(F.collect_set("step_id")).alias("baseline_steps"))
     contracts = units.join(base, "logic_unit_id").select("logic_unit_id", F.when(F.col("logic_unit_id") < "lu_5", "reversible").otherwise("irreversible").alias("reversibility"), F.when(F.col("logic_unit_id") < "lu_2", 60).otherwise(10).alias("blast_entities"), F.lit("L2").alias("effective"), "baseline_steps")
-    now = e.where(F.col("ts") >= F.lit(CURRENT_START).cast("timestamp_ntz"))
+    held = e if since is None else e.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
     seq = F.row_number().over(Window.partitionBy("logic_unit_id").orderBy("ts", "event_id"))
-    return OntologyFrames.of(spark, logic_units=units, lu_steps=steps, lu_evidence=evidence, lu_contracts=contracts, events=now.withColumn("seq", seq))
+    return OntologyFrames.of(spark, logic_units=units, lu_steps=steps, lu_evidence=evidence, lu_contracts=contracts, events=held.withColumn("seq", seq))

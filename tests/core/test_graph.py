@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import json
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from feldspar.model import WITHHELD, OntologyFrames
 from feldspar.operators import gates, graph, process
-from feldspar.sources import ontology
+from feldspar.sources import adapters, ontology
 
 from .fixture import PROV, SPAN, document, frames_of, val
 
@@ -141,3 +142,15 @@ def test_document_source(spark, tmp_path):
 
 def test_fixture_is_shared():
     assert PROV["fact_ids"] and SPAN
+
+
+def test_process_graph_holds_all_events(spark, tmp_path):
+    # dates other than the test tables': all events count, the periods follow the table
+    start = datetime.datetime(2031, 5, 1)
+    events = [(i, 10 * (i % 2), "early" if i < 2 else "late" if i > 717 else f"mid{i % 3}", start + datetime.timedelta(hours=i), 1.0) for i in range(721)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, ts timestamp_ntz, value double").write.parquet(str(tmp_path / "events.parquet"))
+    p = adapters.process_graph(spark, str(tmp_path))
+    assert rows(process.logic_units(p), "step_count", "event_count") == [(5, 721)]
+    assert all(r.de_facto for r in process.steps(p).collect())
+    d = process.drift(p, adapters.current_events(spark, str(tmp_path))).first()
+    assert d.baseline_steps == ["early", "mid2"] and d.current_steps == ["late"] and d.drift == 1
