@@ -1,6 +1,7 @@
 """Sharding by size-tiered compaction over immutable files and a versioned manifest.
 
-Arrivals are appended as small shards. Files are grouped in tiers by size (each tier ``fanout`` times the one below);
+Arrivals are appended as small shards, however large their tasks are: a file ends at the number of rows that make a
+``fanout``-th of the target at the arrivals' mean row size. Files are grouped in tiers by size (each tier ``fanout`` times the one below);
 a tier with ``fanout`` files or more is merged into files of up to the target size, and files that reach half the target
 are left alone. Every append and merge ends with a manifest: a new file ``manifest/v<N>.json``, made under another name
 and renamed, which fails if another writer has taken the number. Readers go by the newest manifest, so they see all of a
@@ -18,8 +19,9 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,20 @@ class CommitConflict(RuntimeError):
     """Another writer committed the same version first."""
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Uncompressed size of a row: its strings' bytes, nested values as JSON, eight bytes for any other."""
+
+    def of(f) -> Column:
+        c = F.col(f"`{f.name.replace('`', '``')}`")
+        if isinstance(f.dataType, StringType | BinaryType):
+            return F.coalesce(F.octet_length(c), F.lit(0))
+        if isinstance(f.dataType, ArrayType | MapType | StructType):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        return F.lit(8)
+
+    return sum((of(f).cast("long") for f in df.schema), F.lit(0).cast("long"))
+
+
 class ShardStore:
     """A versioned set of Parquet shards below ``root``."""
 
@@ -77,16 +93,17 @@ class ShardStore:
             raise CommitConflict(f"version {version} exists")
         return version
 
-    def _write(self, df: DataFrame) -> list[Shard]:
+    def _write(self, df: DataFrame, most_rows: int = 0) -> list[Shard]:
         folder = f"data/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{folder}")
+        df.write.option("maxRecordsPerFile", most_rows).parquet(f"{self.root}/{folder}")
         files = self._fs().listStatus(self._path(folder))
         return [Shard(f"{folder}/{f.getPath().getName()}", f.getLen()) for f in files if f.getPath().getName().startswith("part-")]
 
     def append(self, arrivals: DataFrame) -> int:
-        """One small shard for each task of ``arrivals``."""
-        now = self.manifest()
-        return self.commit(now["version"], arrivals.schema.json(), now["shards"] + self._write(arrivals))
+        """Small shards, one or more for each task of ``arrivals``, which is read twice: for its row size, then to write it."""
+        now, size = self.manifest(), arrivals.agg(F.avg(row_bytes(arrivals))).first()[0]
+        most_rows = max(1, int(self.target / self.fanout / max(size or 1, 1)))
+        return self.commit(now["version"], arrivals.schema.json(), now["shards"] + self._write(arrivals, most_rows))
 
     def tier(self, size: int) -> int:
         level, top = 0, max(self.smallest, 1)
@@ -116,8 +133,6 @@ class ShardStore:
         return self.manifest()["version"]
 
     def _packed(self, files: list[Shard], schema: str) -> DataFrame:
-        from pyspark.sql.types import StructType
-
         session = self.spark.newSession()
         session.conf.set("spark.sql.files.maxPartitionBytes", str(self.target))
         session.conf.set("spark.sql.files.openCostInBytes", "0")
@@ -139,8 +154,6 @@ class ShardStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, with shard_id (the file's place in the manifest) and row_in_shard."""
-        from pyspark.sql.types import StructType
-
         now = self.manifest(version)
         if not now["shards"]:
             schema = StructType.fromJson(json.loads(now["schema"])) if now["schema"] else StructType()

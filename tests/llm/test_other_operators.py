@@ -222,6 +222,18 @@ def test_compaction_odd_rows(spark):
     assert sorted(map(str, store.read().drop("shard_id", "row_in_shard").collect())) == sorted(map(str, odd_documents(spark).collect()))
 
 
+def test_compaction_of_one_large_task(spark):
+    docs, target = documents(spark), 100_000
+    store = compaction.ShardStore(spark, new_dir(spark, "s"), target_bytes=target, fanout=4, smallest=5_000)
+    store.append(docs.coalesce(1))
+    before = store.manifest()["shards"]
+    store.compact()
+    after = store.manifest()["shards"]
+    assert store.manifest()["version"] > 1 and 1 < len(after) < len(before)
+    assert sorted(s.size for s in before)[len(before) // 2] < target / 2 and max(s.size for s in after) < 1.5 * target
+    assert sorted(map(str, store.read().select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+
+
 # lines ----------------------------------------------------------------------------------------------------------------
 
 
