@@ -8,6 +8,8 @@ their words. A shard's documents lie end to end in seeded order; a shard whose q
 So a shard splits two documents at most, and a source's words miss its target by half a block and the rounding of
 its shards.
 
+A source whose target is under SMALL blocks has a block of one word, and at least one, so that none vanishes.
+
 Shards hold a number of words that grows with the square root of all words, so both the shards of the largest source and
 the documents of a shard stay few enough for one task each.
 
@@ -28,6 +30,10 @@ from pyspark.sql import functions as F
 from feldspar.llm.common import SPACE, new_dir, words_of, written
 
 
+#: Sources with a target of fewer blocks than this are apportioned by single words.
+SMALL = 4
+
+
 def sainte_lague(votes: list[float], seats: int) -> list[int]:
     """Seats by the highest quotients votes/(2k+1); ties go to the earlier entry."""
     total = math.fsum(votes)
@@ -95,10 +101,14 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float =
         target = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(t))], share, limit)
         total = sum(sizes)
         shard_words = max(block_words, math.isqrt(total) * 32)
-        blocks = sainte_lague(target, round(sum(target) / block_words))
-        return t.assign(target=target, blocks=np.array(blocks, "i8"), shards=np.array([max(1, -(-s // shard_words)) for s in sizes], "i8"))[["source", "source_size", "target", "blocks", "shards"]]
-
-    sources = written(by_source.groupBy("one").applyInPandas(targets, "source string, source_size long, target double, blocks long, shards long"), new_dir(spark, "mix-sources"))
+        small = [x < SMALL * block_words for x in target]
+        large = [0.0 if s else x for x, s in zip(target, small, strict=True)]
+        blocks = sainte_lague(large, round(sum(large) / block_words))
+        blocks = [(max(1, round(x)) if x else 0) if s else b for b, x, s in zip(blocks, target, small, strict=True)]
+        block = [1 if s else block_words for s in small]
+        return t.assign(target=target, blocks=np.array(blocks, "i8"), block=np.array(block, "i8"), shards=np.array([max(1, -(-s // shard_words)) for s in sizes], "i8"))[["source", "source_size", "target", "blocks", "block", "shards"]]
+
+    sources = written(by_source.groupBy("one").applyInPandas(targets, "source string, source_size long, target double, blocks long, block long, shards long"), new_dir(spark, "mix-sources"))
     dealt = sized.join(sources, sized.source.eqNullSafe(sources.source)).drop(sources.source).withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")))
 
     def quotas(t: pd.DataFrame) -> pd.DataFrame:
@@ -112,10 +122,10 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float =
     placed = dealt.join(shards, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
     before = Window.partitionBy("source", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     words, size = F.col("words"), F.col("size")
-    wanted = F.least(F.col("quota") * block_words, (limit * words).cast("long"))
+    wanted = F.least(F.col("quota") * F.col("block"), (limit * words).cast("long"))
     placed = placed.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
     placed = placed.withColumn("whole", F.when(words > 0, F.floor(wanted / words)).otherwise(0).cast("long")).withColumn("rest", F.when(words > 0, wanted % words).otherwise(0))
-    offset = F.when(words > 0, F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.ceil(words / block_words)) * block_words).otherwise(0)
+    offset = F.when(words > 0, F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.ceil(words / F.col("block"))) * F.col("block")).otherwise(0)
     placed = placed.withColumn("begin", offset).withColumn("end", F.col("begin") + F.col("rest"))
 
     def overlap(start: Column, stop: Column) -> Column:

@@ -161,6 +161,16 @@ def test_mixed_documents(spark, make):
     assert {k: v for k, v in taken.items() if v} == {k: v for k, v in words_out.items() if v}
 
 
+@pytest.mark.parametrize("with_large", [True, False])
+def test_mix_keeps_small_sources(spark, with_large):
+    rows = [(i, words(1 + i % 9, i), f"tiny{i:02}") for i in range(30)] + [(100 + i, words(400, i), "large") for i in range(10 * with_large)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    by = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect()
+    assert len(by) == 30 + with_large
+    for r in by:
+        assert 0 < r.taken <= 2 * r.size and abs(r.taken - r.target) <= (96 if r.source == "large" else 1)
+
+
 # neighbours -----------------------------------------------------------------------------------------------------------
 
 
