@@ -6,12 +6,16 @@ points, or of the upper corners of two boxes of points, bounds how much their se
 joined with themselves, pairs of nodes that can't reach the threshold are cut, and pairs of points that survive are
 verified on the sets.
 
-A tree's top boxes overlap, so points are first dealt out to trees, without loss: two sets of at most u hashes that
-reach the threshold differ in at most d(u) hashes, so of m > d(u) bands of the hash range all but d(u) hold the same
-hashes in both. A class has a key for the content of each band that isn't empty, with m for its range of sizes (and the
-next, if partners may be there). A class with more than m - d(u) - 1 empty bands repeats this with another division, so
-that two partners always share a key. Classes connected by keys are a family; each family gets its own tree, and a
-family too large for one task is cut into chunks, each pair of which is a task. Chunks are joined whatever their number.
+A tree's top boxes overlap, so points are first dealt out to trees, without loss: of two sets that reach the threshold
+t, in any one order of all hashes, the first n - ceil(t n) + 1 hashes of each (n: its size) hold a common one. These are a
+class's keys; classes connected by keys are a family. A small family is one tree and one task. A larger one is dealt by
+levels of size, such that partners are of one level or of two that follow each other, and a level by chunks: each chunk
+is joined with itself, with the others of its level and with those of the next, each pair of chunks as a task, whatever
+their number.
+
+A point has about as many groups as its set has hashes (a power of two), so that the bound stays sharp for large sets;
+a tree's boxes, and first of all the points themselves, are compared by their counts in GROUPS coarse groups. Pairs that
+pass leave the close families, whose texts alone are read again and verified.
 
 Components follow from the verified pairs; a pair whose ends are connected already isn't verified again.
 
@@ -22,7 +26,6 @@ documents of their own; an empty table gives no rows; only the id and text colum
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable, Iterator
 from functools import cache, reduce
@@ -35,7 +38,9 @@ from pyspark.sql import functions as F
 from feldspar.llm.common import SPACE, SPACE_CHARS, new_dir, remove, written
 from feldspar.llm.components import connected
 
-GROUPS, LEAF, FANOUT, ROUNDS, RATIO = 64, 64, 8, 6, 1.8
+GROUPS, LEAF, FANOUT = 64, 64, 8
+#: Rows and hashes of a chunk; the chunks of a level before chunks grow instead, and the rows that they grow to.
+CHUNK_ROWS, CHUNK_HASHES, CHUNKS, MOST_ROWS = 1024, 4_000_000, 16, 16_384
 SEGMENT, COLUMNS, U64 = 1 << 20, 1 << 14, np.uint64
 _random = np.random.default_rng(20240229)
 _BYTES = _random.integers(0, 1 << 63, 256, dtype="u8") * U64(2) + U64(1)
@@ -137,68 +142,76 @@ class Threshold:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.limits = [4]
-        while self.limits[-1] < 1 << 40:
-            self.limits.append(max(self.limits[-1] + 1, int(self.limits[-1] * RATIO)))
-        self._bands: dict[int, tuple[int, int]] = {}
+        self.starts = [1]  # the least size of each level: a partner is at most den/num times as large, so one level on
+        while self.starts[-1] < 1 << 40:
+            self.starts.append(self.starts[-1] * den // num + 1)
 
     def reached(self, common, total):
         """``total``: the sizes' sum."""
         return common * (self.num + self.den) >= self.num * total
 
-    def bands(self, level: int) -> tuple[int, int]:
-        """The number of bands for sets of a level, and how many of them may be empty; (0, 0) if equal sets alone reach."""
-        if level not in self._bands:
-            u = self.limits[level]
-            d = 2 * u * (self.den - self.num) // (self.num + self.den)
-            spare = 0
-            for _ in range(8):
-                m = d + 1 + spare
-                empty = m * math.exp(-u / RATIO / m)
-                spare = min(d, math.ceil(empty + math.sqrt(empty)) if empty > 0.05 else 0)
-            self._bands[level] = (d + 1 + spare, spare) if d else (0, 0)
-        return self._bands[level]
-
-    def levels(self, n: int) -> list[int]:
-        """The levels in which a set of ``n`` hashes may have partners that are no smaller levels' business."""
-        first = int(np.searchsorted(self.limits, n))
-        out = [first]
-        while n * self.den >= self.num * (self.limits[out[-1]] + 1):
-            out.append(out[-1] + 1)
-        return out
-
+    def level(self, n: int) -> int:
+        """Sets that reach the threshold are of one level, or of two that follow each other."""
+        return int(np.searchsorted(self.starts, n, "right"))
 
-def band_keys(s: np.ndarray, t: Threshold) -> np.ndarray:
-    """The keys of a set: any two sets that reach ``t`` and aren't equal share one."""
-    out = []
-    for level in t.levels(len(s)) if len(s) else []:
-        m, spare = t.bands(level)
-        if not m:
-            continue
-        for r in range(ROUNDS):
-            x = s if not r else np.sort(mixed(s + _ODD[30 + r]))
-            band = ((x >> U64(32)) * U64(m)) >> U64(32)
-            starts = np.flatnonzero(np.diff(band, prepend=U64(m)))
-            content = np.add.reduceat(mixed(x ^ _ODD[40]), starts)
-            salt = np.array([m, r, level], "u8") @ _ODD[[42, 43, 45]]
-            out.append(mixed(content + band[starts] * _ODD[41] + salt))
-            if m - len(starts) <= spare:
-                break
-        else:
-            out.append(mixed(np.array([level], "u8") * _ODD[44]))
-    return np.concatenate(out) if out else np.zeros(0, "u8")
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """The first hashes of a sorted set: any two sets that reach the threshold and aren't equal share one."""
+        n = len(s)
+        if n * self.den < self.num * (n + 1) and (n - 1) * self.den < self.num * n:
+            return s[:0]  # equal sets alone reach
+        return s[: n - -(-self.num * n // self.den) + 1]
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """A set's counts by group."""
-    return np.bincount((s >> U64(58)).astype("i8"), minlength=GROUPS).astype("<i4")
+    """A set's counts by group, in as many groups as the largest power of two that isn't over its size, GROUPS at least."""
+    bits = max(GROUPS.bit_length(), len(s).bit_length()) - 1
+    counts = np.bincount((s >> U64(64 - bits)).astype("i8"), minlength=1 << bits)
+    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u4")
+
+
+def folded(p: np.ndarray, groups: int) -> np.ndarray:
+    """Points (or one point) by fewer groups."""
+    return p.reshape(*p.shape[:-1], groups, -1).sum(axis=-1, dtype="i4")
+
+
+def packed(p: np.ndarray) -> bytes:
+    return p.dtype.str[-1:].encode() + p.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if data[:1] == b"4" else "u1", offset=1)
+
+
+class Points:
+    """Points of any number of groups, and their coarse counts."""
+
+    def __init__(self, points: list[np.ndarray]):
+        self.coarse = np.stack([folded(p, GROUPS) for p in points])
+        self.sizes = self.coarse.sum(axis=1, dtype="i8")
+        self.groups = np.array([len(p) for p in points])
+        self.place, self.fine = np.zeros(len(points), "i8"), {}
+        for g in np.unique(self.groups).tolist():
+            at = np.flatnonzero(self.groups == g)
+            self.place[at], self.fine[g] = np.arange(len(at)), np.stack([points[i] for i in at])
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The bound of the overlap of each pair: the sum of minima, by the groups of the coarser one."""
+        out = np.zeros(len(x), "i8")
+        pairs = np.stack([self.groups[x], self.groups[y]], axis=1)
+        for gx, gy in np.unique(pairs, axis=0).tolist():
+            at, g = np.flatnonzero((pairs[:, 0] == gx) & (pairs[:, 1] == gy)), min(gx, gy)
+            step = max(1, (1 << 24) // max(gx, gy))
+            for part in (at[i : i + step] for i in range(0, len(at), step)):
+                a, b = self.fine[gx][self.place[x[part]]], self.fine[gy][self.place[y[part]]]
+                out[part] = np.minimum(a if gx == g else folded(a, g), b if gy == g else folded(b, g)).sum(axis=1, dtype="i8")
+        return out
 
 
 class Tree:
     """An R-tree of count vectors: boxes by their upper corners and their least and largest set sizes."""
 
     def __init__(self, points: np.ndarray):
-        self.sizes, self.points = points.sum(axis=1, dtype="i8"), points.astype("i4")
+        self.sizes, self.points = points.sum(axis=1, dtype="i8"), points
         order: list[np.ndarray] = []
         todo = [np.argsort(self.sizes, kind="stable")]
         while todo:  # halves along the coordinate of largest spread
@@ -301,7 +314,7 @@ def verified(x: np.ndarray, y: np.ndarray, sets: list[np.ndarray], t: Threshold)
     return t.reached(overlaps(left, right)[at_x, at_y], total)
 
 
-def family_links(nodes: np.ndarray, points: np.ndarray, sets: list[np.ndarray] | None, side: np.ndarray | None, t: Threshold) -> list[tuple[int, int]]:
+def family_links(nodes: np.ndarray, points: list[np.ndarray], sets: list[np.ndarray] | None, side: np.ndarray | None, t: Threshold) -> list[tuple[int, int]]:
     """Pairs that connect all that pairs which reach ``t`` connect, verified if ``sets`` are given, else by their points' bound.
 
     ``side``: False and True for two chunks, None for one.
@@ -309,28 +322,35 @@ def family_links(nodes: np.ndarray, points: np.ndarray, sets: list[np.ndarray] |
     first, second = (np.arange(len(nodes)),) * 2 if side is None else (np.flatnonzero(~side), np.flatnonzero(side))
     if not len(first) or not len(second):
         return []
-    a = Tree(points[first])
-    b = a if side is None else Tree(points[second])
-    up, links = list(range(len(nodes))), []
+    p = Points(points)
+    a = Tree(p.coarse[first])
+    b = a if side is None else Tree(p.coarse[second])
+    up, links = np.arange(len(nodes)), []
+
+    def tops(x: np.ndarray) -> np.ndarray:
+        while (up[x] != x).any():
+            x = up[x]
+        return x
 
     def root(i: int) -> int:
         while up[i] != i:
             up[i] = up[up[i]]
-            i = up[i]
+            i = int(up[i])
         return i
 
     for x, y in tree_join(a, b, t):
         x, y = first[x], second[y]
-        if sets is not None:
-            tops = {i: root(i) for i in {*x.tolist(), *y.tolist()}}
-            apart = np.flatnonzero([tops[i] != tops[j] for i, j in zip(x.tolist(), y.tolist(), strict=True)])
-            x, y = x[apart], y[apart]
+        apart = np.flatnonzero(tops(x) != tops(y))
+        x, y = x[apart], y[apart]
+        fits = np.flatnonzero(t.reached(p.common(x, y), p.sizes[x] + p.sizes[y]))
+        x, y = x[fits], y[fits]
+        if sets is not None and len(x):
             fits = verified(x, y, sets, t)
             x, y = x[fits], y[fits]
         for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            p, q = root(i), root(j)
-            if p != q:
-                up[max(p, q)] = min(p, q)
+            k, m = root(i), root(j)
+            if k != m:
+                up[max(k, m)] = min(k, m)
                 links.append((int(nodes[i]), int(nodes[j])))
     return links
 
@@ -344,47 +364,71 @@ def _with_roots(labels: DataFrame) -> DataFrame:
     return labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _family_tasks(members: DataFrame, read: Callable, t: Threshold, chunk_hashes: int) -> DataFrame:
-    """a, b: family_links of each family of ``members`` (root, node, n, data); ``read`` makes points and sets of data."""
-    chunks = members.groupBy("root").agg(F.ceil(F.sum("n") / chunk_hashes).cast("int").alias("chunks"))
-    of = members.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    tasks = of.select("root", "node", "chunk", other.alias("other"), "data").select("root", "node", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "data")
+def _dealt(members: DataFrame, chunk_rows: int, chunk_hashes: int) -> DataFrame:
+    """``members`` (root, node, n, level, data), each for every task (root, at, cross, i, j) that it takes part in, with its side.
+
+    A family of at most ``chunk_rows`` rows and ``chunk_hashes`` hashes is one task. Of larger ones, task (at, 0, i, j)
+    joins chunks i and j of level ``at``, and task (at, 1, i, j) joins its chunk i with chunk j of the next level.
+    """
+    cells = members.groupBy("root", "level").agg(F.count("*").alias("rows"), F.sum("n").alias("hashes"))
+    many = F.ceil(F.col("rows") / chunk_rows)
+    chunks = F.greatest(F.when(many <= CHUNKS, many).otherwise(F.greatest(F.lit(CHUNKS), F.ceil(F.col("rows") / (chunk_rows * (MOST_ROWS // CHUNK_ROWS))))), F.ceil(F.col("hashes") / chunk_hashes)).cast("int")
+    by_root = cells.groupBy("root").agg(F.sum("rows").alias("rows"), F.sum("hashes").alias("hashes"), F.map_from_entries(F.collect_list(F.struct("level", chunks))).alias("chunks"))  # an entry a level
+    one = (F.col("rows") <= chunk_rows) & (F.col("hashes") <= chunk_hashes)
+    of = members.join(by_root.select("root", F.when(~one, F.col("chunks")).alias("chunks")), "root")
+    here, above, below = (F.col("chunks").getItem((F.col("level") + d).cast("int")) for d in (0, 1, -1))
+    of = of.withColumn("chunk", F.pmod(F.xxhash64("node"), here).cast("int"))
+    task = lambda at, cross, i, j, side: F.struct(at.cast("int").alias("at"), F.lit(cross).alias("cross"), i.alias("i"), j.alias("j"), side.alias("side"))
+    each = lambda n, make: F.when(n.isNull(), F.array()).otherwise(F.transform(F.sequence(F.lit(0), n - 1), make))
+    c, level, zero = F.col("chunk"), F.col("level"), F.lit(0)
+    parts = F.concat(
+        each(here, lambda o: task(level, 0, F.least(c, o), F.greatest(c, o), c > o)),
+        each(above, lambda o: task(level, 1, c, o, F.lit(False))),
+        each(below, lambda o: task(level - 1, 1, o, c, F.lit(True))),
+    )
+    tasks = F.when(F.col("chunks").isNull(), F.array(task(F.lit(-1), 0, zero, zero, F.lit(False)))).otherwise(parts)
+    return of.select("root", "node", "data", F.explode(tasks).alias("task")).select("root", "task.*", "node", "data")
+
+
+def _family_tasks(members: DataFrame, read: Callable, t: Threshold, chunk_rows: int, chunk_hashes: int) -> DataFrame:
+    """a, b: family_links of each family of ``members`` (root, node, n, level, data); ``read`` makes points and sets of data."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, points, sets, side = None, [], [], [], []
 
         def links() -> pa.RecordBatch:
-            found = family_links(np.array(nodes), np.stack(points), sets or None, None if now[1] == now[2] else np.array(side), t)
+            alone = not now[2] and now[3] == now[4]
+            found = family_links(np.array(nodes), points, sets or None, None if alone else np.array(side), t)
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                roots, own, c, i, j = (part.column(x).to_pylist() for x in ("root", "node", "chunk", "i", "j"))
+            for start in range(0, b.num_rows, 1024):
+                part = b.slice(start, 1024)
+                keys = list(zip(*(part.column(x).to_pylist() for x in ("root", "at", "cross", "i", "j")), strict=True))
+                own, sides = part.column("node").to_pylist(), part.column("side").to_pylist()
                 new_points, new_sets = read(part.column("data").to_pylist())
-                for k in range(part.num_rows):
-                    if (key := (roots[k], i[k], j[k])) != now:
+                for k, key in enumerate(keys):
+                    if key != now:
                         if now and len(nodes) > 1:
                             yield links()
                         now, nodes, points, sets, side = key, [], [], [], []
                     nodes.append(own[k])
                     points.append(new_points[k])
-                    side.append(c[k] == j[k])
+                    side.append(sides[k])
                     if new_sets is not None:
                         sets.append(new_sets[k])
         if now and len(nodes) > 1:
             yield links()
 
-    dealt = tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return dealt.mapInArrow(linked, "a long, b long")
+    by = ("root", "at", "cross", "i", "j")
+    return _dealt(members, chunk_rows, chunk_hashes).repartition(*by).sortWithinPartitions(*by).mapInArrow(linked, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, chunk_hashes: int = 8_000_000, passes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, chunk_rows: int = CHUNK_ROWS, chunk_hashes: int = CHUNK_HASHES, passes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (of equal sets), component_id, row (its hash) and keeper (the row hash of the one to keep), for each row of ``docs``.
 
-    Two documents link when den * intersection >= num * union. ``chunk_hashes`` bounds the sets that one side of a
-    family task holds (a single larger set is a chunk of its own); keys are shuffled in ``passes`` ranges.
+    Two documents link when den * intersection >= num * union. ``chunk_rows`` and ``chunk_hashes`` bound what one side of
+    a family task holds (a single larger set is a chunk of its own); keys are shuffled in ``passes`` ranges.
     """
     spark, t = docs.sparkSession, Threshold(num, den)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
@@ -392,21 +436,26 @@ def jaccard_classes(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
                 sets = shingle_sets(part.column("text").to_pylist(), words)
                 sums = [(np.add.reduce(s, dtype="u8"), np.add.reduce(mixed(s + _ODD[50]), dtype="u8")) for s in sets]
                 prints = mixed(np.array(sums, "u8").reshape(-1, 2) + np.array([[len(s)] for s in sets], "u8"))
-                keys = [_signed(np.unique(band_keys(s, t))) for s in sets]
+                keys = [_signed(t.keys(s)) for s in sets]
                 ends = np.cumsum([0, *map(len, keys)])
                 listed = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(prints[:, 0].copy())), pa.array(_signed(prints[:, 1].copy())), pa.array([point(s).tobytes() for s in sets], pa.binary()), listed], names=["id", "row", "n", "f1", "f2", "point", "keys"])
+                sizes = [len(s) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("row"), pa.array(sizes, pa.int64()), pa.array([t.level(n) for n in sizes], pa.int32()), pa.array(_signed(prints[:, 0].copy())), pa.array(_signed(prints[:, 1].copy())), pa.array([packed(point(s)) for s in sets], pa.binary()), listed],
+                    names=["id", "row", "n", "level", "f1", "f2", "point", "keys"],
+                )
 
     keyed_path = new_dir(spark, "shingles")
-    with_keys = written(rows.withColumn("row", row).mapInArrow(hashed, "id long, row long, n long, f1 long, f2 long, point binary, keys array<bigint>"), keyed_path)
+    with_keys = written(rows.withColumn("row", row).mapInArrow(hashed, "id long, row long, n long, level int, f1 long, f2 long, point binary, keys array<bigint>"), keyed_path)
     # one row a class; node: the class's 64-bit print
-    classes = with_keys.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("smallest"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row"))["row"].alias("row"), F.first("n").alias("n"), F.min("point").alias("point"))
-    classes = written(classes.withColumnRenamed("f1", "node"), new_dir(spark, "classes"))
+    classes = with_keys.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("smallest"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row"))["row"].alias("row"), F.first("n").alias("n"), F.first("level").alias("level"), F.min("point").alias("point"))
+    classes_path = new_dir(spark, "classes")
+    classes = written(classes.withColumnRenamed("f1", "node"), classes_path)
     # documents of one class have the same node and keys, which the aggregation before the shuffle folds; ranges of keys
     # go one after the other, so that a range's shuffles bound the disk; the join is a merge of two tables at every size,
     # so that Spark may split a skewed side
@@ -421,16 +470,17 @@ def jaccard_classes(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
     remove(spark, keyed_path)  # the keys are most of this operator's disk, and nothing below reads them
     families = connected(reduce(DataFrame.unionByName, found), "node", "low")
     # what shares keys is loose: the points' trees, which take little room, leave the families whose texts are compared
-    loose = _with_roots(families).join(classes.select("node", "n", F.col("point").alias("data")), "node")
-    close = connected(written(_family_tasks(loose, lambda x: (np.frombuffer(b"".join(x), "<i4").reshape(-1, GROUPS), None), t, chunk_hashes), new_dir(spark, "close")), "a", "b")
-    members = written(_with_roots(close).join(classes.select("node", "n", "row"), "node"), new_dir(spark, "members"))
-    texts = rows.withColumn("row", row).join(members.hint("merge"), "row").groupBy("row").agg(*(F.first(c).alias(c) for c in ("root", "node", "n")), F.first("text").alias("data"))
+    loose = _with_roots(families).join(classes.select("node", "n", "level", F.col("point").alias("data")), "node")
+    tasks = _family_tasks(loose, lambda x: ([unpacked(p) for p in x], None), t, chunk_rows, chunk_hashes)
+    close = connected(written(tasks, new_dir(spark, "close")), "a", "b")
+    members = written(_with_roots(close).join(classes.select("node", "n", "level", "row"), "node"), new_dir(spark, "members"))
+    texts = rows.withColumn("row", row).join(members.hint("merge"), "row").groupBy("row").agg(*(F.first(c).alias(c) for c in ("root", "node", "n", "level")), F.first("text").alias("data"))
 
-    def of_texts(x: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    def of_texts(x: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         sets = shingle_sets(x, words)
-        return np.stack([point(s) for s in sets]), sets
+        return [point(s) for s in sets], sets
 
-    links = written(_family_tasks(texts, of_texts, t, chunk_hashes), new_dir(spark, "links"))
+    links = written(_family_tasks(texts, of_texts, t, chunk_rows, chunk_hashes), new_dir(spark, "links"))
     parts = connected(links, "a", "b")
     rooted = classes.select("node", "smallest", F.col("row").alias("class_row")).join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"), F.min(F.struct(F.col("smallest").isNull().alias("z"), "smallest", "class_row"))["class_row"].alias("keeper"))

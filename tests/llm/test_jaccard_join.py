@@ -80,19 +80,45 @@ def test_keys_meet():
             other = np.unique(np.concatenate([s[gone:], r.integers(0, 1 << 63, int(r.integers(0, 3)), dtype="u8")]))
             common = len(np.intersect1d(s, other))
             if 0 < common < max(len(s), len(other)) and t.reached(common, len(s) + len(other)):
-                assert len(np.intersect1d(jj.band_keys(s, t), jj.band_keys(other, t)))
+                assert len(np.intersect1d(t.keys(s), t.keys(other)))
+                assert abs(t.level(len(s)) - t.level(len(other))) <= 1
 
 
 def test_tree_finds_all():
     r, t = np.random.default_rng(6), jj.Threshold(80, 100)
     base = r.integers(0, 1 << 63, (6, 120), dtype="u8")
     sets = [np.unique(np.concatenate([base[i % 6][int(r.integers(0, 25)) :], r.integers(0, 1 << 63, int(r.integers(0, 15)), dtype="u8")])) for i in range(500)]
-    tree = jj.Tree(np.stack([jj.point(s) for s in sets]))
+    tree = jj.Tree(np.stack([jj.folded(jj.point(s), jj.GROUPS) for s in sets]))
     got = {(min(i, j), max(i, j)) for x, y in jj.tree_join(tree, tree, t) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
     want = {(i, j) for i in range(500) for j in range(i + 1, 500) if t.reached(jj.overlap(sets[i], sets[j]), len(sets[i]) + len(sets[j]))}
     assert want <= got and len(got) < 125_000
 
 
+def test_points_bound_overlaps():
+    r = np.random.default_rng(8)
+    pool = r.integers(0, 1 << 63, 900, dtype="u8") * np.uint64(2)
+    sets = [np.unique(r.choice(pool, int(r.integers(1, 700)))) for _ in range(60)] + [pool[:0], np.arange(300, dtype="u8")]
+    points = jj.Points([jj.unpacked(jj.packed(jj.point(s))) for s in sets])
+    assert points.sizes.tolist() == [len(s) for s in sets] and len(points.fine) == 3
+    x, y = (p.ravel() for p in np.meshgrid(np.arange(len(sets)), np.arange(len(sets)), indexing="ij"))
+    true = np.array([jj.overlap(sets[i], sets[j]) if len(sets[i]) and len(sets[j]) else 0 for i, j in zip(x, y, strict=True)])
+    bound = points.common(x, y)
+    assert (bound >= true).all() and (bound <= np.minimum(points.sizes[x], points.sizes[y])).all()
+
+
+@pytest.mark.parametrize(("rows", "hashes"), [(7, 10**9), (10**9, 900)])
+def test_large_families_are_dealt(spark, rows, hashes):
+    """Chunks of a family, within a level of sizes and across two, lose no link and hold few rows."""
+    texts = edited(2, 150, 60, 11) + edited(1, 40, 45, 12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jj.jaccard_classes(docs, words=3, num=80, den=100, chunk_rows=rows, chunk_hashes=hashes).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(list(enumerate(texts)), 3, 80, 100))
+    members = spark.createDataFrame([(1, i, 50 + i, 20 + i % 2, b"") for i in range(60)], "root long, node long, n long, level int, data binary")
+    dealt = jj._dealt(members, 10, 10**9).collect()
+    seen = {frozenset((a.node, b.node)) for a in dealt for b in dealt if a.node < b.node and tuple(a)[:5] == tuple(b)[:5]}
+    assert len(seen) == 60 * 59 // 2 and len({tuple(r)[:5] for r in dealt}) > 10
+
+
 def test_long_text_sets():
     text = words(400_000, 3).encode()
     whole, = jj.shingle_sets([text], 3)
