@@ -43,8 +43,8 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_recurring(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"))
+    out = line_dedup.drop_recurring(_table(spark, sf_dir, "documents"), counts=("n_lines", "n_dropped"))
+    return out.select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

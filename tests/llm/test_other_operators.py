@@ -248,48 +248,98 @@ def test_compaction_of_one_large_task(spark):
 
 
 def brute_lines(rows):
-    def templates(line):
-        w = ["<*>" if re.search("[0-9]", x) else x for x in WORD.findall(line)]
-        n, h = len(w), (len(w) + 3) // 2
-        if n < 5:
-            return []
-        return [("=", *w)] + ([("<", n, *w[:h]), (">", n, *w[:3], "|", *w[h:])] if n >= 14 else [])
-
-    owners = defaultdict(set)
-    for d, t in rows:
-        for line in (t or "").split("\n") if t is not None else []:
-            for x in templates(line):
-                owners[x].add((d is not None, d or 0, t))
+    """doc_id, kept text, lines, dropped lines of (doc_id, text) rows, by the tree of the module's docstring on real tokens."""
+    docs = sorted({(d, t) for d, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
+    wholes, shorts, nodes = defaultdict(list), defaultdict(list), defaultdict(list)
+
+    def fields(w):
+        n = len(w)
+        return [tuple(w[f * n // 16 : (f + 1) * n // 16]) for f in range(16)]
+
+    for doc in docs:
+        for k, line in enumerate(doc[1].split("\n")):
+            plain = WORD.findall(line)
+            w = ["<*>" if re.search("[0-9]", x) else x for x in plain]
+            w = plain if 2 * w.count("<*>") > len(w) else w
+            n, h = len(w), (len(w) + 3) // 2
+            if n < 5:
+                if any(c.isalpha() for c in line):
+                    shorts[tuple(plain)].append((doc, k))
+                continue
+            wholes[tuple(w)].append((doc, k))
+            for node in [("^", n, *w[:3])] * (n >= 8) + [("<", n, *w[:h]), (">", n, *w[:3], "|", *w[h:])] * (n >= 14):
+                nodes[node].append((doc, k, n, fields(w)))
+    gone = set()
+    for by, least in ((wholes, 2), (shorts, 10)):
+        for held in by.values():
+            if len({d for d, _ in held}) >= least:
+                gone |= {(d, k) for d, k in held if d != held[0][0]}
+    for held in nodes.values():
+        first, takers = held[0][0], defaultdict(list)
+        seeds = {}
+        for d, k, n, f in held:
+            if d == first:
+                seeds.setdefault(tuple(f), k)
+        for d, k, n, f in held:
+            if d != first:
+                best = None
+                for g, at in seeds.items():
+                    same = [i for i in range(16) if f[i] == g[i] and f[i] not in ((), ("<*>",))]
+                    constant = [i for i in range(16) if f[i] and not (f[i] == g[i] == ("<*>",))]
+                    size = lambda x, f=f: sum(len(f[i]) for i in x)
+                    similar = size(same) / size(constant) if constant else 0
+                    best = max(best or (-1,), (similar, sum(1 << i for i in same), -at, g))
+                if best[0] >= 0.7:
+                    takers[best[3]].append((d, k, best[1]))
+        for g, taken in takers.items():
+            mask = -1
+            for _, _, m in taken:
+                mask &= m
+            n = sum(map(len, g))
+            if (n >= 14 or len({d for d, _, _ in taken}) > 1) and sum(len(g[i]) for i in range(16) if mask >> i & 1) >= 0.5 * n:
+                gone |= {(d, k) for d, k, _ in taken}
     out = []
     for d, t in rows:
-        lines = t.split("\n") if t is not None else []
-        me = (d is not None, d or 0, t)
-        keep = [x for x in lines if not any(len(owners[y]) > 1 and me != min(owners[y]) for y in templates(x))]
+        lines = [] if t is None else t.split("\n")
+        keep = [x for k, x in enumerate(lines) if ((d, t), k) not in gone]
         out.append((d, None if t is None else "\n".join(keep), len(lines), len(lines) - len(keep)))
     return out
 
 
+COUNTS = ("all", "dropped")
+
+
 def test_line_dedup(spark):
     docs = documents(spark)
     shared = [(1000 + i, f"intro {words(9, i)}\nPosted on 2024-01-0{i} by user{i} in forum 7\nbye", "en", "s", 3) for i in range(5)]
     both = docs.unionByName(spark.createDataFrame(shared, docs.schema))
-    got = line_dedup.drop_recurring(both)
-    assert sorted((r.doc_id, r.text, r["__n_lines"], r["__n_dropped"]) for r in got.collect()) == sorted(brute_lines([(r.doc_id, r.text) for r in both.collect()]))
+    got = line_dedup.drop_recurring(both, counts=COUNTS)
+    assert sorted((r.doc_id, r.text, r["all"], r.dropped) for r in got.collect()) == sorted(brute_lines([(r.doc_id, r.text) for r in both.collect()]))
     assert [r.text.count("Posted") for r in got.where("doc_id >= 1000").orderBy("doc_id").collect()] == [1, 0, 0, 0, 0]
 
 
 def test_line_dedup_odd(spark):
     docs = odd_documents(spark).where("doc_id IS NOT NULL AND NOT (doc_id = 3 AND lang = 'fr')")
-    got = line_dedup.drop_recurring(docs)
-    assert got.columns[:-2] == docs.columns
-    assert sorted(((r.doc_id, r.text, r["__n_lines"], r["__n_dropped"]) for r in got.collect()), key=str) == sorted(brute_lines([(r.doc_id, r.text) for r in docs.collect()]), key=str)
+    got = line_dedup.drop_recurring(docs, counts=COUNTS)
+    assert got.columns == [*docs.columns, *COUNTS]
+    assert sorted(((r.doc_id, r.text, r["all"], r.dropped) for r in got.collect()), key=str) == sorted(brute_lines([(r.doc_id, r.text) for r in docs.collect()]), key=str)
     assert line_dedup.drop_recurring(odd_documents(spark)).count() == odd_documents(spark).count()
     assert line_dedup.drop_recurring(no_documents(spark)).count() == 0
-    assert line_dedup.drop_recurring(docs, drop_emptied=True).where("__n_dropped > 0 AND trim(text) = ''").count() == 0
+    assert line_dedup.drop_recurring(docs, drop_emptied=True, counts=COUNTS).where("dropped > 0 AND trim(text) = ''").count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_line_dedup_keeps_clashing_columns(spark):
+    names = ["row", "gone", "lines", "line", "doc", "i", "n", "__row", "__gone", "__n_lines"]
+    rows = [(i, "the same line of seven words here\nown " + words(9, i), *(f"{c}{i}" for c in names)) for i in range(3)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = line_dedup.drop_recurring(docs).orderBy("doc_id").collect()
+    assert [tuple(r)[2:] for r in got] == [r[2:] for r in rows] and [r.text.count("same") for r in got] == [1, 0, 0]
+    with pytest.raises(ValueError):
+        line_dedup.drop_recurring(docs, counts=("row", "x"))
+
+
 def test_line_dedup_short_lines(spark):
     rows = [(i, f"{words(9, i)}\nAll  rights reserved.\n\n}}\n7\nPage {i}\nrare {i // 9}\nAll rights reserved.") for i in range(12)]
     got = line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -309,6 +359,25 @@ def test_line_dedup_constant_text(spark):
     assert [r.text.split("\n") for r in got.orderBy("doc_id").collect()] == [texts[0], texts[1][:-1], texts[2][1:2]]
 
 
+def test_line_dedup_half_alike(spark):
+    """Lines that share a half, and nothing else, stay."""
+    half = "one two three four five six seven eight"
+    texts = [f"{half} alpha beta gamma delta epsilon zeta", f"{half} red green blue black white brown"]
+    got = line_dedup.drop_recurring(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.text for r in got.orderBy("doc_id").collect()] == texts
+
+
+def test_line_dedup_learns_fields(spark):
+    """Fields without digits become variable by the lines that differ there; a template of two documents is too few for short lines."""
+    log = [f"Posted on board by {who} about {what} matters here today" for who, what in (("ann", "garden"), ("bob", "house"), ("eve", "city"))]
+    pair = [f"She looked at the {x} door and went away quietly" for x in ("red", "blue")]
+    texts = [f"{words(9, i)}\n{log[i]}" + (f"\n{pair[i]}" if i < 2 else "") for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in line_dedup.drop_recurring(docs).orderBy("doc_id").collect()]
+    assert [("Posted" in x, "door" in x) for x in got] == [(True, True), (False, True), (False, False)]
+    assert [tuple(r) for r in line_dedup.templates(docs).collect()] == [(0, 1, 10, 8, 2)]
+
+
 # classifier -----------------------------------------------------------------------------------------------------------
 
 
