@@ -4,72 +4,54 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 docs. All but the last return the columns of documents. Stages never read ``sf_dir``: each works on all that its
 predecessor kept.
 
-Stages of a session are called one after the other, each on the written result of the one before. So when a stage is
-called, the tables that earlier stages wrote on their way go, except those that ``docs`` still reads.
+A stage's function leaves nothing behind but small tables of row keys that its result reads, so stages may be called in
+any order and as often as one likes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from feldspar.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
-from feldspar.llm.common import new_dir, noted_dirs, read_paths, remove, written
+from feldspar.llm.common import new_dir, remove, written
 from feldspar.llm.registry import VOCABULARY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_passing: list[tuple[SparkSession, str]] = []
 
-
-def _stage(of: Stage) -> Stage:
-    """``of``, less the tables that stages before it needed on their way."""
-
-    @wraps(of)
-    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        roots = read_paths(docs)
-        kept = [(s, p) for s, p in _passing if s is spark and any(p in root for root in roots)]
-        remove(spark, *(p for s, p in _passing if s is spark and (s, p) not in kept))
-        with noted_dirs() as paths:
-            out = of(spark, docs, sf_dir)
-        _passing[:] = kept + [(spark, p) for p in paths]
-        return out
-
-    return call
-
-
-@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return quality_rules.keep_good(docs)
 
 
-@_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur across documents go, but for their first document; so do documents left empty."""
-    return line_dedup.drop_recurring(docs, drop_emptied=True).select(*docs.columns)
+    return line_dedup.drop_recurring(docs, drop_emptied=True)
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five words, similarity of 0.8 or more."""
-    return jaccard_join.keep_one(docs, words=5, num=80, den=100, passes=8)
+    return jaccard_join.keep_one(docs, words=5, num=80, den=100)
 
 
-@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights; a document is repeated, cut or left out as the mix takes it."""
     return mixing.mixed_documents(docs)
 
 
-@_stage
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each piece of each document in packed sequences of 2048 tokens."""
     return packing.pack(docs, VOCABULARY, capacity=2048, end_id=0)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("mixing", mixture), ("best-fit packing", sequences)]
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing", mixture),
+    ("best-fit packing", sequences),
+]
 
 #: SQL can't express shingle components, apportionment or packing; tests hold the pipeline against brute force.
 ORACLE_SQL = None
