@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import tempfile
+import threading
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,63 +31,59 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``. Where it is unset, a temporary one for a local session, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="feldspar-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-_noted: list[list[str]] = []
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
+    """A folder that isn't there yet; the scratch scopes that are open delete it at their end."""
     path = f"{shared_dir(spark)}/feldspar/{name}-{uuid.uuid4().hex}"
-    for paths in _noted:
+    for paths in _scopes.get():
         paths.append(path)
     return path
 
 
-@contextmanager
-def noted_dirs() -> Iterator[list[str]]:
-    """The list of the folders that ``new_dir`` gives out within the block."""
-    _noted.append([])
-    try:
-        yield _noted[-1]
-    finally:
-        _noted.pop()
-
-
-def read_paths(df: DataFrame) -> list[str]:
-    """Roots of the files that ``df`` reads; none of them is listed or opened."""
-    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
-            roots = leaf.relation().location().rootPaths()
-            out += [roots.apply(j).toString() for j in range(roots.size())]
-    return out
-
-
 #: Spark's setting that drops a query's shuffle files once the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _open = threading.Lock(), [0, "false"]
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, and survives the loss of any executor.
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within the block, ``new_dir`` gives folders that go at its end, and a query's shuffle files go when the query ends.
 
-    The shuffle files that made it go as soon as it is complete, so a job's disk holds one step's shuffles at a time.
+    So an operator's disk holds the shuffles of one step, and of its tables only what it allotted before the block.
     """
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
+    with _lock:
+        if not _open[0]:
+            _open[1] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _open[0] += 1
     try:
-        df.write.parquet(path)
+        yield
     finally:
-        conf.set(CLEANUP, before)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner drops what no plan of the driver refers to
+        _scopes.reset(token)
+        with _lock:
+            _open[0] -= 1
+            if not _open[0]:
+                spark.conf.set(CLEANUP, _open[1])
+        remove(spark, *paths)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts lineage, and survives the loss of any executor."""
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -137,7 +134,11 @@ class WordEncoder:
         if len(kept) > self.MAX_KEPT:
             kept.clear()
         for t in texts:
-            t = (t or b"").lower()  # bytes: only ASCII case and white space
+            t = t or b""
+            if b"<|" in t:  # special tokens are found before the case is folded, across chunks
+                out.append(self.whole(t))
+                continue
+            t = t.lower()  # bytes: only ASCII case and white space
             if self.MARKS.search(t) or self.JOINED.search(t):
                 t = self.ENDS.sub(rb" \g<0>", t)
             else:
@@ -146,6 +147,10 @@ class WordEncoder:
         return out
 
 
+    def whole(self, text: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+
 class _Kept(dict):
     """Ids by chunk; looks up what it doesn't have."""
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feldspar.llm.common import SPACE, SPACE_CHARS, new_dir, remove, written
+from feldspar.llm.common import SPACE, SPACE_CHARS, new_dir, remove, scratch, written
 from feldspar.llm.components import connected
 
 GROUPS, LEAF, FANOUT = 64, 64, 8
@@ -430,7 +430,13 @@ def jaccard_classes(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
     Two documents link when den * intersection >= num * union. ``chunk_rows`` and ``chunk_hashes`` bound what one side of
     a family task holds (a single larger set is a chunk of its own); keys are shuffled in ``passes`` ranges.
     """
-    spark, t = docs.sparkSession, Threshold(num, den)
+    path = new_dir(docs.sparkSession, "jaccard")
+    with scratch(docs.sparkSession):
+        return written(_classes(docs, words, Threshold(num, den), chunk_rows, chunk_hashes, passes, id_col, text_col), path)
+
+
+def _classes(docs: DataFrame, words: int, t: Threshold, chunk_rows: int, chunk_hashes: int, passes: int, id_col: str, text_col: str) -> DataFrame:
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     row = F.xxhash64("id", "text")
 
@@ -495,9 +501,10 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Documents without words all stay; of fully repeated rows (equal id and text) one stays.
     """
-    keepers = jaccard_classes(docs, id_col=id_col, text_col=text_col, **options).where("keeper IS NOT NULL").select(F.col("keeper").alias("__row")).distinct()
+    keepers = jaccard_classes(docs, id_col=id_col, text_col=text_col, **options).where("keeper IS NOT NULL").select(F.col("keeper").alias("key")).distinct()
     text = F.col(text_col).cast("string")
     worded = F.coalesce(text.rlike(f"[^{SPACE}]"), F.lit(False))
-    row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
-    kept = docs.where(worded).withColumn("__row", row).join(keepers, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).alias("key")
+    whole = docs.where(worded).select(key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    kept = whole.join(keepers, "key", "left_semi").dropDuplicates(["key"]).select(*(F.col(f"doc.`{c}`") for c in docs.columns))
     return kept.unionByName(docs.where(~worded))

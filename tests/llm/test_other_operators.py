@@ -123,9 +123,38 @@ def test_sainte_lague():
         assert mixing.sainte_lague(votes, seats) == [sum(i == j for _, j in quotients) for i in range(len(votes))]
 
 
-def test_capped_targets():
-    got = mixing.capped_targets([100, 100, 100, 0], [5, 2, 1, 5], 1.5, 2.0)
-    assert got == [200.0, 500 / 3, 250 / 3, 0.0] and mixing.capped_targets([], [], 1.5, 2.0) == []
+def capped_targets(sizes, weights, share, limit):
+    left, open_, out = share * sum(sizes), [i for i, s in enumerate(sizes) if s > 0], [0.0] * len(sizes)
+    while open_:
+        w = sum(weights[i] for i in open_)
+        full = [i for i in open_ if weights[i] * left > limit * sizes[i] * w]
+        if not full:
+            for i in open_:
+                out[i] = weights[i] * left / w
+            break
+        for i in full:
+            out[i] = limit * float(sizes[i])
+        left -= sum(limit * sizes[i] for i in full)
+        open_ = [i for i in open_ if not out[i]]
+    return out
+
+
+def test_targets_and_seats_of_all_sources(spark):
+    r = random.Random(3)
+    assert capped_targets([100, 100, 100, 0], [5, 2, 1, 5], 1.5, 2.0) == [200.0, 500 / 3, 250 / 3, 0.0]
+    for sizes in ([100, 100, 100, 0], [r.choice([0, 1, 7, 7, 300, 10**6]) for _ in range(40)], [7] * 25, [5]):
+        table = spark.createDataFrame(list(enumerate(sizes)), "number long, source_size long")
+        got = mixing.targeted(table, (5, 2, 1), 1.5, 2.0).orderBy("number").collect()
+        want = capped_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], 1.5, 2.0)
+        assert np.allclose([x.target for x in got], want, rtol=1e-12)
+        for seats in (1, 17, 60, 1000):
+            dealt = mixing.allotted(table.withColumn("votes", F.col("source_size").cast("double")), "votes", seats).orderBy("number").collect()
+            assert [x.seats for x in dealt] == mixing.sainte_lague(sizes, seats)
+
+
+def test_numbered(spark):
+    got = mixing.numbered(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")), F.col("x")).collect()
+    assert sorted((r.x, r.number) for r in got) == [(i, i) for i in range(1000)]
 
 
 @pytest.mark.parametrize("make", [documents, odd_documents])
@@ -138,11 +167,12 @@ def test_mix(spark, make):
         by[r.source].append(r)
     names = sorted(x for x in by if x is not None) + [None] * (None in by)
     sizes = [sum(r.size for r in by[s]) for s in names]
-    targets = mixing.capped_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5, 2.0)
+    targets = capped_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5, 2.0)
     for s, size, target in zip(names, sizes, targets, strict=True):
         assert {r.source_size for r in by[s]} == {size} and all(abs(r.target - target) < 1e-6 for r in by[s])
         assert abs(sum(r.taken for r in by[s]) - target) <= 64 + 32 * len({r.shard for r in by[s]})
         assert all(0 <= r.taken <= 2 * r.size for r in by[s])
+        assert all(r.part == sum(x.n for x in r.runs) and all(0 <= x.begin and x.begin + x.n <= r.size for x in r.runs) for r in by[s])
     again = mixing.mix(docs.repartition(3)).collect()
     assert sorted(map(str, again)) == sorted(map(str, rows))
     assert mixing.mix(no_documents(spark)).count() == 0
