@@ -7,11 +7,14 @@ joined with themselves, pairs of nodes that can't reach the threshold are cut, a
 verified on the sets.
 
 A tree's top boxes overlap, so points are first dealt out to trees, without loss: of two sets that reach the threshold
-t, in any one order of all hashes, the first n - ceil(t n) + 1 hashes of each (n: its size) hold a common one. These are a
-class's keys; classes connected by keys are a family. A small family is one tree and one task. A larger one is dealt by
-levels of size, such that partners are of one level or of two that follow each other, and a level by chunks: each chunk
-is joined with itself, with the others of its level and with those of the next, each pair of chunks as a task, whatever
-their number.
+t, in any one order of all hashes, the first n - ceil(t n) + 1 hashes of each (n: its size) hold a common one. The order
+taken puts rare hashes first: those below a limit come by the binary logarithm of the number of documents that hold them,
+then by value; the others follow by value, so that a set's first hashes are among those below the limit (or among its
+least ones, if these are too few) and only they are counted. Passages that many documents share, which would connect all
+of them, so come last. Hashes that no other set holds are never keys, and a set with enough of them has none. Classes
+connected by keys are a family. A small family is one tree and one task. A larger one is dealt by levels of size, such
+that partners are of one level or of two that follow each other, and a level by chunks: each chunk is joined with itself,
+with the others of its level and with those of the next, each pair of chunks as a task, whatever their number.
 
 A point has about as many groups as its set has hashes (a power of two), so that the bound stays sharp for large sets;
 a tree's boxes, and first of all the points themselves, are compared by their counts in GROUPS coarse groups. Pairs that
@@ -32,13 +35,15 @@ from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feldspar.llm.common import SPACE, SPACE_CHARS, new_dir, remove, scratch, written
 from feldspar.llm.components import connected
 
 GROUPS, LEAF, FANOUT = 64, 64, 8
+#: Hashes below the limit are about this many times as many as keys are needed.
+SPREAD = 2
 #: Rows and hashes of a chunk; the chunks of a level before chunks grow instead, and the rows that they grow to.
 CHUNK_ROWS, CHUNK_HASHES, CHUNKS, MOST_ROWS = 1024, 4_000_000, 16, 16_384
 SEGMENT, COLUMNS, U64 = 1 << 20, 1 << 14, np.uint64
@@ -142,6 +147,7 @@ class Threshold:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        self.limit = min((1 << 64) - 1, (SPREAD * (den - num) << 64) // den)  # of the hashes that come by their frequency
         self.starts = [1]  # the least size of each level: a partner is at most den/num times as large, so one level on
         while self.starts[-1] < 1 << 40:
             self.starts.append(self.starts[-1] * den // num + 1)
@@ -154,12 +160,17 @@ class Threshold:
         """Sets that reach the threshold are of one level, or of two that follow each other."""
         return int(np.searchsorted(self.starts, n, "right"))
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """The first hashes of a sorted set: any two sets that reach the threshold and aren't equal share one."""
-        n = len(s)
+    def first(self, n: int) -> int:
+        """How many first hashes of a set of ``n`` are keys: any two sets that reach the threshold and aren't equal share one."""
         if n * self.den < self.num * (n + 1) and (n - 1) * self.den < self.num * n:
-            return s[:0]  # equal sets alone reach
-        return s[: n - -(-self.num * n // self.den) + 1]
+            return 0  # equal sets alone reach
+        return n - -(-self.num * n // self.den) + 1
+
+    def listed(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """The hashes of a sorted set among which its keys are, and how many of them lie below the limit."""
+        p = self.first(len(s))
+        low = int(np.searchsorted(s, U64(self.limit), "right")) if p else 0
+        return s[: max(low, p)], low
 
 
 def point(s: np.ndarray) -> np.ndarray:
@@ -374,8 +385,8 @@ def _dealt(members: DataFrame, chunk_rows: int, chunk_hashes: int) -> DataFrame:
     many = F.ceil(F.col("rows") / chunk_rows)
     chunks = F.greatest(F.when(many <= CHUNKS, many).otherwise(F.greatest(F.lit(CHUNKS), F.ceil(F.col("rows") / (chunk_rows * (MOST_ROWS // CHUNK_ROWS))))), F.ceil(F.col("hashes") / chunk_hashes)).cast("int")
     by_root = cells.groupBy("root").agg(F.sum("rows").alias("rows"), F.sum("hashes").alias("hashes"), F.map_from_entries(F.collect_list(F.struct("level", chunks))).alias("chunks"))  # an entry a level
-    one = (F.col("rows") <= chunk_rows) & (F.col("hashes") <= chunk_hashes)
-    of = members.join(by_root.select("root", F.when(~one, F.col("chunks")).alias("chunks")), "root")
+    large = by_root.where((F.col("rows") > chunk_rows) | (F.col("hashes") > chunk_hashes)).select("root", "chunks")
+    of = members.join(large, "root", "left")
     here, above, below = (F.col("chunks").getItem((F.col("level") + d).cast("int")) for d in (0, 1, -1))
     of = of.withColumn("chunk", F.pmod(F.xxhash64("node"), here).cast("int"))
     task = lambda at, cross, i, j, side: F.struct(at.cast("int").alias("at"), F.lit(cross).alias("cross"), i.alias("i"), j.alias("j"), side.alias("side"))
@@ -424,7 +435,7 @@ def _family_tasks(members: DataFrame, read: Callable, t: Threshold, chunk_rows:
     return _dealt(members, chunk_rows, chunk_hashes).repartition(*by).sortWithinPartitions(*by).mapInArrow(linked, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, chunk_rows: int = CHUNK_ROWS, chunk_hashes: int = CHUNK_HASHES, passes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, words: int = 5, num: int = 80, den: int = 100, chunk_rows: int = CHUNK_ROWS, chunk_hashes: int = CHUNK_HASHES, passes: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (of equal sets), component_id, row (its hash) and keeper (the row hash of the one to keep), for each row of ``docs``.
 
     Two documents link when den * intersection >= num * union. ``chunk_rows`` and ``chunk_hashes`` bound what one side of
@@ -447,17 +458,18 @@ def _classes(docs: DataFrame, words: int, t: Threshold, chunk_rows: int, chunk_h
                 sets = shingle_sets(part.column("text").to_pylist(), words)
                 sums = [(np.add.reduce(s, dtype="u8"), np.add.reduce(mixed(s + _ODD[50]), dtype="u8")) for s in sets]
                 prints = mixed(np.array(sums, "u8").reshape(-1, 2) + np.array([[len(s)] for s in sets], "u8"))
-                keys = [_signed(t.keys(s)) for s in sets]
+                keys, low = zip(*(t.listed(s) for s in sets), strict=True)
+                keys = [_signed(x) for x in keys]
                 ends = np.cumsum([0, *map(len, keys)])
                 listed = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())).cast(pa.list_(pa.int64()))
                 sizes = [len(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("row"), pa.array(sizes, pa.int64()), pa.array([t.level(n) for n in sizes], pa.int32()), pa.array(_signed(prints[:, 0].copy())), pa.array(_signed(prints[:, 1].copy())), pa.array([packed(point(s)) for s in sets], pa.binary()), listed],
-                    names=["id", "row", "n", "level", "f1", "f2", "point", "keys"],
+                    [part.column("id"), part.column("row"), pa.array(sizes, pa.int64()), pa.array([t.level(n) for n in sizes], pa.int32()), pa.array(_signed(prints[:, 0].copy())), pa.array(_signed(prints[:, 1].copy())), pa.array([packed(point(s)) for s in sets], pa.binary()), listed, pa.array(low, pa.int32()), pa.array([t.first(n) for n in sizes], pa.int32())],
+                    names=["id", "row", "n", "level", "f1", "f2", "point", "keys", "low", "first"],
                 )
 
     keyed_path = new_dir(spark, "shingles")
-    with_keys = written(rows.withColumn("row", row).mapInArrow(hashed, "id long, row long, n long, level int, f1 long, f2 long, point binary, keys array<bigint>"), keyed_path)
+    with_keys = written(rows.withColumn("row", row).mapInArrow(hashed, "id long, row long, n long, level int, f1 long, f2 long, point binary, keys array<bigint>, low int, first int"), keyed_path)
     # one row a class; node: the class's 64-bit print
     classes = with_keys.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("smallest"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row"))["row"].alias("row"), F.first("n").alias("n"), F.first("level").alias("level"), F.min("point").alias("point"))
     classes_path = new_dir(spark, "classes")
@@ -465,16 +477,23 @@ def _classes(docs: DataFrame, words: int, t: Threshold, chunk_rows: int, chunk_h
     # documents of one class have the same node and keys, which the aggregation before the shuffle folds; ranges of keys
     # go one after the other, so that a range's shuffles bound the disk; the join is a merge of two tables at every size,
     # so that Spark may split a skewed side
-    found = []
+    shared = []
     for p in range(passes):
-        keyed = with_keys.select(F.col("f1").alias("node"), F.explode(F.filter("keys", lambda x: F.pmod(x, F.lit(passes)) == F.lit(p))).alias("key"))
-        low, path = F.min("node").alias("low"), new_dir(spark, "shared-keys")
-        shared = written(keyed.groupBy("key").agg(low, F.max("node").alias("high")).where("low <> high").select("key", "low"), path)
-        found.append(written(keyed.join(shared.hint("merge"), "key").where("node <> low").select("node", "low").distinct(), new_dir(spark, "met")))
+        of_range = F.filter(F.transform("keys", lambda x, i: F.struct(x.alias("key"), i.alias("at"))), lambda x: F.pmod(x["key"], F.lit(passes)) == F.lit(p))
+        keyed = with_keys.select(F.col("f1").alias("node"), "low", "first", F.explode(of_range if passes > 1 else F.transform("keys", lambda x, i: F.struct(x.alias("key"), i.alias("at")))).alias("k")).select("node", "low", "first", "k.*")
+        path = new_dir(spark, "counted-keys")
+        counted = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("documents")).where("least <> most")
+        counted = written(counted.select("key", "least", F.floor(F.log2("documents")).alias("rarity")), path)
+        shared.append(written(keyed.join(counted.hint("merge"), "key").distinct(), new_dir(spark, "shared-keys")))
         remove(spark, path)
     sets = written(with_keys.select("id", "row", "n", "f1"), new_dir(spark, "sets"))
     remove(spark, keyed_path)  # the keys are most of this operator's disk, and nothing below reads them
-    families = connected(reduce(DataFrame.unionByName, found), "node", "low")
+    # the place of a shared hash among its set's hashes in the common order: those that it shares with no set come first
+    shared, below = reduce(DataFrame.unionByName, shared), F.col("at") < F.col("low")
+    by_set = Window.partitionBy("node", below)
+    place = F.when(below, F.col("low") - F.count("*").over(by_set) + F.row_number().over(by_set.orderBy("rarity", "at")) - 1).otherwise(F.col("at"))
+    met = shared.withColumn("place", place).where("place < first AND node <> least").select("node", "least").distinct()
+    families = connected(met, "node", "least")
     # what shares keys is loose: the points' trees, which take little room, leave the families whose texts are compared
     loose = _with_roots(families).join(classes.select("node", "n", "level", F.col("point").alias("data")), "node")
     tasks = _family_tasks(loose, lambda x: ([unpacked(p) for p in x], None), t, chunk_rows, chunk_hashes)

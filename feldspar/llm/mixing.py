@@ -34,7 +34,7 @@ from feldspar.llm.common import SPACE, new_dir, scratch, words_of, written
 #: Sources with a target of fewer blocks than this are apportioned by single words.
 SMALL = 4
 #: Blocks that follow each other are selected in runs of this many.
-RUN = 8
+RUN = 32
 #: Divisors tried at a time.
 WAYS = 24
 
@@ -177,9 +177,9 @@ def _mix(docs: DataFrame, weights: tuple[int, ...], share: float, limit: float,
     size, at = F.col("size"), F.col("at")
     covered = placed.where("rest > 0 AND size > 0").select("place", "number", "shard", "size", "at", "block", F.explode(F.sequence(F.floor(at / block), F.floor((at + size - 1) / block))).alias("b"))
     begin = F.greatest(F.lit(0).cast("long"), F.col("b") * block - at)
-    hits = covered.join(chosen, ["number", "shard", "b"]).select("place", begin.alias("begin"), (F.least(size, F.col("b") * block + F.col("n") - at) - begin).alias("n")).where("n > 0")
+    hits = covered.join(chosen.hint("merge"), ["number", "shard", "b"]).select("place", begin.alias("begin"), (F.least(size, F.col("b") * block + F.col("n") - at) - begin).alias("n")).where("n > 0")
     runs = hits.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("begin", "n"))).alias("runs"), F.sum("n").alias("part"))  # of one document
-    out = placed.join(runs, "place", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    out = placed.join(runs.hint("merge"), "place", "left").withColumn("part", F.coalesce("part", F.lit(0)))
     none = F.array().cast("array<struct<begin:bigint,n:bigint>>")
     return out.select("doc_id", "source", "key", "size", "source_size", "target", "whole", F.coalesce("runs", none).alias("runs"), "part", (F.col("whole") * size + F.col("part")).alias("taken"), "shard")
 
@@ -202,7 +202,7 @@ def mixed_documents(docs: DataFrame, *, seed: int = 17, id_col: str = "doc_id",
     rows = texts.join(plan, "key").select("doc", "runs")
     body = F.coalesce(F.col(f"doc.`{text_col}`").cast("string"), F.lit(""))
     # each word with the white space after it, of documents that are cut only
-    words = F.when(F.col("runs").isNotNull(), F.split(F.regexp_replace(body, f"^[{SPACE}]+", ""), f"(?<=[{SPACE}])(?=[^{SPACE}])"))
+    words = F.when(F.col("runs").isNotNull(), F.regexp_extract_all(body, F.lit(f"[^{SPACE}]++[{SPACE}]*+"), F.lit(0)))
     rows = rows.select("doc", "runs", words.alias("words"))
     pieces = F.flatten(F.transform("runs", lambda r: F.slice("words", (r["begin"] + 1).cast("int"), r["n"].cast("int"))))
     rows = rows.select("doc", F.array_join(pieces, "").alias("cut"))

@@ -69,7 +69,7 @@ def test_components(spark, make, k, num, den):
 
 
 def test_keys_meet():
-    """Any two sets that reach the threshold share a key, whatever their sizes."""
+    """Any two sets that reach the threshold share a key, whatever their sizes and the hashes' rarities."""
     r = np.random.default_rng(5)
     for num, den in ((90, 100), (80, 100), (50, 100)):
         t = jj.Threshold(num, den)
@@ -80,7 +80,10 @@ def test_keys_meet():
             other = np.unique(np.concatenate([s[gone:], r.integers(0, 1 << 63, int(r.integers(0, 3)), dtype="u8")]))
             common = len(np.intersect1d(s, other))
             if 0 < common < max(len(s), len(other)) and t.reached(common, len(s) + len(other)):
-                assert len(np.intersect1d(t.keys(s), t.keys(other)))
+                rarity = lambda h: (int(h) * 2654435761 >> 7) % 5  # noqa: E731  any numbers do
+                order = lambda h: (h > t.limit, rarity(h) if h <= t.limit else 0, h)
+                first = [sorted(x.tolist(), key=order)[: t.first(len(x))] for x in (s, other)]
+                assert set(first[0]) & set(first[1]) and set(first[0]) <= set(t.listed(s)[0].tolist())
                 assert abs(t.level(len(s)) - t.level(len(other))) <= 1
 
 

@@ -297,7 +297,7 @@ def brute_lines(rows):
                     shorts[tuple(plain)].append((doc, k))
                 continue
             wholes[tuple(w)].append((doc, k))
-            for node in [("^", n, *w[:3])] * (n >= 8) + [("<", n, *w[:h]), (">", n, *w[:3], "|", *w[h:])] * (n >= 14):
+            for node in [("^", n, *w[:3])] * (n >= 8) + [("<", n, *w[:h]), ("<<", n, *w[: 3 * n // 4]), (">", n, *w[:3], "|", *w[h:])] * (n >= 14):
                 nodes[node].append((doc, k, n, fields(w)))
     gone = set()
     for by, least in ((wholes, 2), (shorts, 10)):
@@ -305,29 +305,16 @@ def brute_lines(rows):
             if len({d for d, _ in held}) >= least:
                 gone |= {(d, k) for d, k in held if d != held[0][0]}
     for held in nodes.values():
-        first, takers = held[0][0], defaultdict(list)
-        seeds = {}
-        for d, k, n, f in held:
-            if d == first:
-                seeds.setdefault(tuple(f), k)
-        for d, k, n, f in held:
-            if d != first:
-                best = None
-                for g, at in seeds.items():
-                    same = [i for i in range(16) if f[i] == g[i] and f[i] not in ((), ("<*>",))]
-                    constant = [i for i in range(16) if f[i] and not (f[i] == g[i] == ("<*>",))]
-                    size = lambda x, f=f: sum(len(f[i]) for i in x)
-                    similar = size(same) / size(constant) if constant else 0
-                    best = max(best or (-1,), (similar, sum(1 << i for i in same), -at, g))
-                if best[0] >= 0.7:
-                    takers[best[3]].append((d, k, best[1]))
-        for g, taken in takers.items():
-            mask = -1
-            for _, _, m in taken:
-                mask &= m
-            n = sum(map(len, g))
-            if (n >= 14 or len({d for d, _, _ in taken}) > 1) and sum(len(g[i]) for i in range(16) if mask >> i & 1) >= 0.5 * n:
-                gone |= {(d, k) for d, k, _ in taken}
+        first, _, n, g = held[0]
+        taken, mask = [], -1
+        for d, k, _, f in held:
+            same = [i for i in range(16) if f[i] == g[i] and f[i] not in ((), ("<*>",))]
+            constant = [i for i in range(16) if f[i] and not (f[i] == g[i] == ("<*>",))]
+            if d != first and len(same) >= 0.7 * len(constant):
+                taken.append((d, k))
+                mask &= sum(1 << i for i in same)
+        if (n >= 14 or len({d for d, _ in taken}) > 1) and (mask & 0xFFFF).bit_count() >= 0.5 * min(n, 16):
+            gone |= set(taken)
     out = []
     for d, t in rows:
         lines = [] if t is None else t.split("\n")
