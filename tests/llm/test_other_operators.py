@@ -284,7 +284,7 @@ def brute_lines(rows):
 
     def fields(w):
         n = len(w)
-        return [tuple(w[f * n // 16 : (f + 1) * n // 16]) for f in range(16)]
+        return [tuple(w[f * n // 8 : (f + 1) * n // 8]) for f in range(8)]
 
     for doc in docs:
         for k, line in enumerate(doc[1].split("\n")):
@@ -308,12 +308,12 @@ def brute_lines(rows):
         first, _, n, g = held[0]
         taken, mask = [], -1
         for d, k, _, f in held:
-            same = [i for i in range(16) if f[i] == g[i] and f[i] not in ((), ("<*>",))]
-            constant = [i for i in range(16) if f[i] and not (f[i] == g[i] == ("<*>",))]
+            same = [i for i in range(8) if f[i] == g[i] and f[i] not in ((), ("<*>",))]
+            constant = [i for i in range(8) if f[i] and not (f[i] == g[i] == ("<*>",))]
             if d != first and len(same) >= 0.7 * len(constant):
                 taken.append((d, k))
                 mask &= sum(1 << i for i in same)
-        if (n >= 14 or len({d for d, _ in taken}) > 1) and (mask & 0xFFFF).bit_count() >= 0.5 * min(n, 16):
+        if (n >= 14 or len({d for d, _ in taken}) > 1) and (mask & 0xFF).bit_count() >= 0.5 * 8:
             gone |= set(taken)
     out = []
     for d, t in rows:
@@ -392,7 +392,7 @@ def test_line_dedup_learns_fields(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r.text for r in line_dedup.drop_recurring(docs).orderBy("doc_id").collect()]
     assert [("Posted" in x, "door" in x) for x in got] == [(True, True), (False, True), (False, False)]
-    assert [tuple(r) for r in line_dedup.templates(docs).collect()] == [(0, 1, 10, 8, 2)]
+    assert [tuple(r) for r in line_dedup.templates(docs).collect()] == [(0, 1, 10, 6, 2)]
 
 
 # classifier -----------------------------------------------------------------------------------------------------------
