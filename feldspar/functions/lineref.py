@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 def parse(ref: Column) -> Column:
     """struct(file, start, end), split at the last colon; null unless 1 <= start <= end."""
-    r = r"^(.+):([0-9]+)(?:-([0-9]+))?$"
-    a = F.regexp_extract(ref, r, 2).try_cast("int")
-    b = F.coalesce(F.nullif(F.regexp_extract(ref, r, 3), F.lit("")), F.regexp_extract(ref, r, 2)).try_cast("int")
-    return F.when((a >= 1) & (b >= a), F.struct(F.regexp_extract(ref, r, 1).alias("file"), a.alias("start"), b.alias("end")))
+    lines = F.substring_index(ref, ":", -1)
+    file = F.left(ref, F.length(ref) - F.length(lines) - 1)
+    a, b = F.substring_index(lines, "-", 1).try_cast("int"), F.substring_index(lines, "-", -1).try_cast("int")
+    whole = lines.rlike("^[0-9]+(-[0-9]+)?$") & (F.length(ref) > F.length(lines) + 1)
+    return F.when(whole & (a >= 1) & (b >= a), F.struct(file.alias("file"), a.alias("start"), b.alias("end")))
 
 
 def text(r: Column) -> Column:

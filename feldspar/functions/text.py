@@ -11,19 +11,29 @@ from pyspark.sql import functions as F
 #: Words that name tokens leave out.
 NAME_STOP_WORDS = ("the", "and", "of", "for", "a", "an")
 #: Words that signatures leave out.
-SIGNATURE_STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "for", "from", "has", "in", "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "were", "with")
-#: The verbs of actions, in order of precedence.
-ACTIONS = (("goto", "navigate|go to|open|visit"), ("click", "click|press|tap"), ("fill", "fill|enter|type"), ("select", "select|choose|pick"))
+SIGNATURE_STOP_WORDS = (
+    "of", "for", "with", "within", "to", "from", "the", "a", "an", "in", "on", "at",
+    "and", "or", "as", "into", "per", "its", "their", "that", "this", "other", "between",
+)
+#: The phrases of actions, in order of precedence.
+ACTIONS = (
+    ("goto", ("go to", "navigate", "open the", "visit")),
+    ("click", ("click", "press the", "tap", "select the .*button")),
+    ("fill", ("enter", "type", "fill")),
+    ("select", ("choose", "select")),
+)
 #: Shapes of secrets.
 SECRETS = (
-    r"sk-[A-Za-z0-9_-]{16,}", r"gh[pousr]_[A-Za-z0-9]{20,}", r"AKIA[0-9A-Z]{16}", r"xox[baprs]-[A-Za-z0-9-]{10,}", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}",
-    r"(?i:bearer)\s+[A-Za-z0-9._~+/-]{16,}=*", r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    r"\bsk-[A-Za-z0-9_-]{16,}\b", r"\bAKIA[0-9A-Z]{16}\b", r"\bghp_[A-Za-z0-9]{20,}\b", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
+    r"\b(?i:bearer)\s+[A-Za-z0-9._-]{12,}\b", r"-----BEGIN[ A-Z]*PRIVATE KEY-----",
 )
+#: Shapes that this library adds: other GitHub tokens and JSON web tokens.
+MORE_SECRETS = (r"\bgh[ours]_[A-Za-z0-9]{20,}\b", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}\b")
 REDACTED = "[REDACTED]"
 #: Modality by file extension.
 MODALITIES = {
-    "markdown": "md markdown", "text": "txt rst log", "html": "html htm", "spreadsheet": "csv tsv xlsx xls", "json": "json jsonl", "pdf": "pdf", "docs": "docx pptx odt",
-    "image": "png jpg jpeg gif webp", "audio": "mp3 wav m4a flac ogg", "video": "mp4 mov mkv webm avi", "notebook": "ipynb",
+    "markdown": "md markdown", "pdf": "pdf", "spreadsheet": "csv xlsx xls ods", "docs": "docx doc odt rtf", "html": "html htm", "json": "json", "notebook": "ipynb",
+    "image": "png jpg jpeg gif webp bmp", "video": "mp4 mov mkv webm avi m4v", "audio": "mp3 wav m4a flac ogg aac",
 }
 
 
@@ -85,14 +95,14 @@ def first_sentence(s: Column) -> Column:
 
 def action_verb(s: Column) -> Column:
     """The first action whose verbs occur; null if none does."""
-    said = lambda verbs: s.rlike(f"(?i)(?<![A-Za-z0-9_])(?:{verbs})(?![A-Za-z0-9_])")
+    said = lambda verbs: s.rlike("(?i)" + "|".join(rf"\b{v}\b" for v in verbs))
     return reduce(lambda c, a: c.when(said(a[1]), a[0]), ACTIONS[1:], F.when(said(ACTIONS[0][1]), ACTIONS[0][0]))
 
 
 def redact(s: Column, patterns: tuple[str, ...] = (), mark: str = REDACTED) -> Column:
     """Secrets replaced by ``mark``; a configured pattern that isn't a regular expression counts literally."""
     out = s
-    for p in (*SECRETS, *patterns):
+    for p in (*SECRETS, *MORE_SECRETS, *patterns):
         try:
             re.compile(p)
         except re.error:
@@ -156,8 +166,9 @@ def rational(s: Column) -> Column:
 
 
 def page_numbers(s: Column) -> Column:
-    """1-based pages of a list such as 2,5,9 or 1-3,7, in order, each once."""
-    ends = F.transform(F.split(F.regexp_replace(s, r"\s", ""), ","), lambda p: F.split(p, "-"))
+    """1-based pages of a list such as 2,5,9 or 1-3,7, in order, each once; parts that are no pages are left out."""
+    parts = F.filter(F.split(F.regexp_replace(s, r"\s", ""), ","), lambda p: p.rlike("^[0-9]{1,9}(-[0-9]{1,9})?$"))
+    ends = F.transform(parts, lambda p: F.split(p, "-"))
     return F.array_distinct(F.flatten(F.transform(ends, lambda e: F.sequence(e[0].cast("int"), F.element_at(e, -1).cast("int")))))
 
 

@@ -18,6 +18,13 @@ from pyspark.sql import functions as F
 SKIPPED = ("script", "style", "noscript", "nav", "footer", "header", "aside")
 BLOCKS = ("p", "div", "li", "ul", "ol", "table", "tr", "br", "section", "article", "main", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6")
 
+#: Names and first bytes of file formats.
+SIGNATURES = (
+    ("pdf", b"%PDF"), ("zip/office/ooxml", b"PK\x03\x04"), ("png", b"\x89PNG"), ("jpeg", b"\xff\xd8\xff"), ("gif", b"GIF8"), ("gzip", b"\x1f\x8b"),
+    ("mp3", b"ID3"), ("ogg", b"OggS"), ("riff/wav/avi", b"RIFF"), ("mp4", b"\x00\x00\x00\x18ftyp"), ("mp4", b"\x00\x00\x00\x1cftyp"),
+    ("sqlite", b"SQLite format"), ("json?", b"{\n"), ("html", b"<!DOCTYPE"), ("html", b"<html"),
+)
+
 
 def blocks(text: Column) -> Column:
     """Blocks between blank lines: array of struct(label, text)."""
@@ -167,7 +174,9 @@ def front_matter(text: Column) -> Column:
     """Flat ``key: value`` pairs of a leading --- block; empty if there is none."""
     body = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---(?:\n|$)", 1)
     pairs = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"^[A-Za-z0-9_-]+:"))
-    return F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.split(x, ":", 2)[0], F.trim(F.split(x, ":", 2)[1]))))
+    name = lambda x: F.split(x, ":", 2)[0]
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: name(y) == name(x)))  # a repeated key: the last one counts
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(name(x), F.trim(F.split(x, ":", 2)[1]))))
 
 
 def markdown_tables(text: Column) -> Column:
@@ -187,15 +196,23 @@ def notebook_cells(df: DataFrame, key: str, json: str) -> DataFrame:
 
 
 def detect(content: Column) -> Column:
-    """struct(signature, is_text) of a binary file's first bytes."""
+    """struct(signature, image, is_text, encoding) of a binary file's first 512 bytes.
+
+    A signature may stand anywhere in the first 16 bytes; the earlier in the list wins. ``image`` is the type of a picture
+    that a viewer may show, by exact signatures.
+    """
     h = F.hex(F.substring(content, 1, 512))
-    signs = (("png", "89504E47"), ("jpeg", "FFD8FF"), ("gif", "47494638"), ("pdf", "25504446"), ("zip", "504B0304"), ("gzip", "1F8B"), ("webp", "52494646"))
-    c = None
-    for name, sign in signs:
-        test = F.startswith(h, F.lit(sign))
-        c = F.when(test, name) if c is None else c.when(test, name)
+    starts = lambda sign: F.startswith(h, F.lit(sign))
+    c = F.lit(None).cast("string")
+    for name, sign in reversed(SIGNATURES):
+        code = sign.hex().upper()
+        within = F.substring(h, 1, 32).rlike(f"^(?:..)*?{code}")
+        c = F.when(within | starts(code), name).otherwise(c)
+    webp = starts("52494646") & (F.substring(h, 17, 8) == "57454250")
+    image = F.when(starts("89504E470D0A1A0A"), "image/png").when(starts("FFD8FF"), "image/jpeg").when(starts("47494638") & (F.length(h) >= 12), "image/gif").when(webp, "image/webp")
     nul = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(h) / 2).cast("int")), lambda i: F.substring(h, 2 * i - 1, F.lit(2)) == "00")
-    return F.struct(c.alias("signature"), (~nul).alias("is_text"))
+    utf8 = F.is_valid_utf8(F.substring(content, 1, 512).cast("string"))
+    return F.struct(c.alias("signature"), image.alias("image"), (~nul).alias("is_text"), F.when(nul, None).when(utf8, "utf-8").otherwise("latin-1").alias("encoding"))
 
 
 def pdf_coverage(pages: DataFrame, key: str = "doc", page: str = "page", text: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feldspar.model import WITHHELD, OntologyFrames
+from feldspar.session import checkpointed
 
 
 def number(value: Column) -> Column:
@@ -27,17 +28,19 @@ def types(g: OntologyFrames) -> DataFrame:
     return g.entity_types.join(props, "type_id", "left").join(n, "type_id", "left").select("type_id", "name", "status", F.coalesce("property_count", F.lit(0)).alias("property_count"), F.coalesce("entity_count", F.lit(0)).alias("entity_count"))
 
 
-def closure(g: OntologyFrames, depth: int = 32) -> DataFrame:
-    """type_id, interface_id: all interfaces of each type, through ``extends``; cycles end by themselves, unknown ids stay."""
-    edges = g.interfaces.select("interface_id", F.explode("extends").alias("parent"))
-    seen = g.entity_types.select("type_id", F.explode("extends").alias("interface_id")).distinct()
-    fresh = seen
-    for _ in range(depth):
-        fresh = fresh.join(edges, "interface_id").select("type_id", F.col("parent").alias("interface_id")).distinct().join(seen, ["type_id", "interface_id"], "left_anti")
+def closure(g: OntologyFrames) -> DataFrame:
+    """type_id, interface_id: all interfaces of each type, through ``extends``; cycles end by themselves, unknown ids stay.
+
+    Each level is saved, so that the plan doesn't grow with the depth.
+    """
+    edges = checkpointed(g.interfaces.select("interface_id", F.explode("extends").alias("parent")))
+    seen = fresh = checkpointed(g.entity_types.select("type_id", F.explode("extends").alias("interface_id")).distinct())
+    while True:
+        step = fresh.join(edges, "interface_id").select("type_id", F.col("parent").alias("interface_id")).distinct()
+        fresh = checkpointed(step.join(seen, ["type_id", "interface_id"], "left_anti"))
         if fresh.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(fresh)
-    return seen
 
 
 def interfaces(g: OntologyFrames) -> DataFrame:
@@ -177,6 +180,7 @@ def traverse(g: OntologyFrames, start: str, depth: int = 3) -> tuple[DataFrame,
         step = front.join(inc, "entity_id").select(F.lit(d).alias("depth"), "entity_id", "link_id", "neighbor")
         path = step if path is None else path.unionByName(step)
         front = step.select(F.col("neighbor").alias("entity_id")).distinct().join(seen, "entity_id", "left_anti").withColumn("depth", F.lit(d + 1))
+        front = checkpointed(front)  # the next level's plan starts from its rows
         seen = seen.unionByName(front)
     reached = seen.join(g.entities.select("entity_id", "label"), "entity_id").select("entity_id", "label", "depth")
     empty = spark.createDataFrame([], "depth int, entity_id string, link_id string")

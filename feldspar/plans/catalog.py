@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from feldspar.functions import text
 from feldspar.operators import build, cache, documents, gates, graph, process, resolution, segments, tabular
+from feldspar.session import shared_dir
 from feldspar.sources.adapters import business_graph, document_graph, process_graph, table
 from feldspar.streaming import changes
 
@@ -312,7 +313,7 @@ def resolve_clusters(spark, sf):
     return resolution.components(by.join(first, "n").where("a <> entity_id").select("a", F.col("entity_id").alias("b")))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\b(navigate|go to|open|visit)\\b') THEN 'goto' WHEN regexp_matches(text, '(?i)\\b(click|press|tap)\\b') THEN 'click' WHEN regexp_matches(text, '(?i)\\b(fill|enter|type)\\b') THEN 'fill' WHEN regexp_matches(text, '(?i)\\b(select|choose|pick)\\b') THEN 'select' END AS verb FROM documents")
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\bgo to\b|\bnavigate\b|\bopen the\b|\bvisit\b') THEN 'goto' WHEN regexp_matches(text, '(?i)\bclick\b|\bpress the\b|\btap\b|\bselect the .*button\b') THEN 'click' WHEN regexp_matches(text, '(?i)\benter\b|\btype\b|\bfill\b') THEN 'fill' WHEN regexp_matches(text, '(?i)\bchoose\b|\bselect\b') THEN 'select' END AS verb FROM documents")
 def action_verbs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.action_verb(F.col("text")).alias("verb"))
 
@@ -391,12 +392,12 @@ def upsert_state(spark, sf):
 @query("SELECT user_id::VARCHAR AS path, arg_max(props, event_id) AS content FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
 def stream_upserts(spark, sf):
     """The same state as ``upsert_state``, by a stream in bursts."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="feldspar-")) + f"/feldspar/stream-{tempfile.gettempprefix()}{abs(hash(sf))}-{spark.sparkContext.startTime}"
+    root = f"{shared_dir(spark)}/feldspar/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf, "events").schema
     s = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
     e = s.select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"), F.col("props").alias("content"))
     changes.run_upserts(e, f"{root}/state", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/state/n=0").select("path", "content")
+    return changes.newest(spark, f"{root}/state").select("path", "content")
 
 
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -404,3 +405,129 @@ def event_windows(spark, sf):
     return changes.windows(table(spark, sf, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+# names, files and scalars ---------------------------------------------------------------------------------------------
+
+_SIGN_STOP = "'of','for','with','within','to','from','the','a','an','in','on','at','and','or','as','into','per','its','their','that','this','other','between'"
+_STEM = """CASE WHEN length(t) <= 4 THEN t WHEN t LIKE '%ies' THEN left(t, length(t) - 3)||'y' WHEN t LIKE '%sses' THEN left(t, length(t) - 2)
+ WHEN t LIKE '%ing' AND length(t) > 5 THEN left(t, length(t) - 3) WHEN t LIKE '%ed' THEN left(t, length(t) - 2) WHEN t LIKE '%s' AND t NOT LIKE '%ss' THEN left(t, length(t) - 1) ELSE t END"""
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '' AND t NOT IN ({_SIGN_STOP})) AS w FROM documents)
+ SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(w, lambda t: {_STEM}))), ' ') AS signature FROM w"""
+)
+def name_signature(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.name_signature(F.col("text")).alias("signature"))
+
+
+_EXTENSIONS = "md pdf csv ods docx doc rtf htm json ipynb png bmp mp4 m4v mp3 aac txt".split()
+_MODALITY = """CASE WHEN e = 'md' THEN 'markdown' WHEN e = 'pdf' THEN 'pdf' WHEN e IN ('csv', 'ods') THEN 'spreadsheet' WHEN e IN ('docx', 'doc', 'rtf') THEN 'docs' WHEN e = 'htm' THEN 'html' WHEN e = 'json' THEN 'json'
+ WHEN e = 'ipynb' THEN 'notebook' WHEN e IN ('png', 'bmp') THEN 'image' WHEN e IN ('mp4', 'm4v') THEN 'video' WHEN e IN ('mp3', 'aac') THEN 'audio' ELSE 'generic' END"""
+
+
+@query(f"SELECT o_orderkey, {_MODALITY} AS modality FROM (SELECT o_orderkey, ({_EXTENSIONS!r})[(o_orderkey % {len(_EXTENSIONS)} + 1)::INT] AS e FROM orders)")
+def modality(spark, sf):
+    ext = F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (F.col("o_orderkey") % len(_EXTENSIONS) + 1).cast("int"))
+    path = F.concat(F.lit("in/"), F.col("o_orderkey").cast("string"), F.lit("."), F.upper(ext))
+    return table(spark, sf, "orders").select("o_orderkey", text.modality(path).alias("modality"))
+
+
+@query("SELECT page_id, CASE WHEN html LIKE '<!DOCTYPE%' OR contains(left(html, 16), '<!DOCTYPE') OR html LIKE '<html%' OR contains(left(html, 16), '<html') THEN 'html' END AS signature, true AS is_text FROM pages")
+def detect(spark, sf):
+    d = documents.detect(F.encode("html", "utf-8"))
+    return table(spark, sf, "pages").select("page_id", d["signature"].alias("signature"), d["is_text"].alias("is_text"))
+
+
+_FORMS = [(0, "Definite", "Article", "the "), (1, "Ending", "Suffix", "TION"), (2, "Ending", "Suffix", "ment"), (3, "Umlaut", "Letter", "ü")]
+
+
+@query("SELECT 'f:'||doc_id AS fact_id, CASE WHEN contains(lower(text), 'the ') THEN 'Article' WHEN contains(lower(text), 'tion') OR contains(lower(text), 'ment') THEN 'Suffix' WHEN contains(lower(text), 'ü') THEN 'Letter' ELSE 'Topic' END AS type FROM documents")
+def glossary_match(spark, sf):
+    facts = table(spark, sf, "documents").select(F.concat(F.lit("f:"), F.col("doc_id").cast("string")).alias("fact_id"), "text")
+    return build.glossary_match(facts, spark.createDataFrame(_FORMS, "pos int, term string, type string, form string")).select("fact_id", "type")
+
+
+@query("SELECT event_id, printf('%02d:%02d:%02d', (floor(value)::BIGINT // 3600), (floor(value)::BIGINT // 60) % 60, floor(value)::BIGINT % 60) AS clock, CASE WHEN value / 100 - 0.5 >= 0.05 THEN 'positive' WHEN value / 100 - 0.5 <= -0.05 THEN 'negative' ELSE 'neutral' END AS mood FROM events WHERE value >= 0")
+def scalars(spark, sf):
+    return table(spark, sf, "events").where("value >= 0").select("event_id", text.clock(F.col("value")).alias("clock"), text.sentiment_label(F.col("value") / 100 - 0.5).alias("mood"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 2000)||chr(10)||'[truncated]' ELSE text END AS cut, array_to_string(regexp_extract_all(text, '[\\x20-\\x7e]{4,}'), '|') AS runs FROM documents")
+def text_views(spark, sf):
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", text.truncate(t, 2000).alias("cut"), F.array_join(text.printable_runs(t), "|").alias("runs"))
+
+
+# JSON, all nodes ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT count(*) + sum(len(json_keys(props))) AS n_nodes, 1 AS max_depth FROM events")
+def json_totals(spark, sf):
+    n = tabular.json_nodes(table(spark, sf, "events"), "event_id", "props")
+    return tabular.json_stats(n).select("n_nodes", "max_depth")
+
+
+@query("SELECT 'object' AS type, count(*) AS n FROM events UNION ALL SELECT 'number', sum(len(json_keys(props)))::BIGINT FROM events")
+def json_types(spark, sf):
+    return tabular.json_types(tabular.json_nodes(table(spark, sf, "events"), "event_id", "props"))
+
+
+@query("SELECT name, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS name FROM events) GROUP BY 1 ORDER BY n DESC, name LIMIT 40")
+def json_keys(spark, sf):
+    return tabular.json_keys(tabular.json_nodes(table(spark, sf, "events"), "event_id", "props"))
+
+
+# gates on graphs with planted faults ----------------------------------------------------------------------------------
+
+
+@query("SELECT 'schema' AS code, 'schema' AS location UNION ALL SELECT 'extensions', 'extensions.plain'")
+def gate_header(spark, sf):
+    version = spark.createDataFrame([("ontology.v0", ["a.b", "plain"])], "schema string, extension_keys array<string>")
+    return gates.header(business_graph(spark, sf).with_(version=version)).select("code", "location")
+
+
+@query("SELECT 'entities.key:'||p_partkey AS location, 'holds part:'||p_partkey AS message FROM part WHERE p_partkey % 3 = 0")
+def gate_identity(spark, sf):
+    g = business_graph(spark, sf)
+    number = F.split_part("entity_id", F.lit(":"), F.lit(2)).cast("long")
+    wrong = (F.col("type_id") == "part") & (number % 3 == 0)
+    keys = F.when(wrong, F.concat(F.lit("key:"), number.cast("string"))).otherwise(F.col("entity_id"))
+    e = table(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("entity_id"), F.lit("part").alias("type_id")).withColumn("map_key", keys)
+    return gates.identity(g.with_(entities=e)).select("location", "message")
+
+
+@query("""SELECT 'resolutions.r:'||doc_id AS location, 'not reversible' AS message FROM documents WHERE doc_id % 20 = 0 UNION ALL SELECT 'resolutions.r:'||doc_id, 'no evidence' FROM documents WHERE doc_id % 30 = 0
+ UNION ALL SELECT 'resolutions.r:'||d.doc_id, 'member d:'||(d.doc_id + k)||' is unknown' FROM documents d, (VALUES (1), (2)) v(k) WHERE d.doc_id % 10 = 0 AND d.doc_id + k NOT IN (SELECT doc_id FROM documents)""")
+def gate_resolution(spark, sf):
+    g = document_graph(spark, sf)
+    n = F.split_part("resolution_id", F.lit(":"), F.lit(2)).cast("long")
+    r = g.resolutions.withColumn("evidence", F.when(n % 30 != 0, F.col("evidence"))).withColumn("reversible", n % 20 != 0)
+    return gates.resolution(g.with_(resolutions=r)).select("location", "message")
+
+
+@query("""SELECT 'entities.supplier:'||s_suppkey||'.s_acctbal' AS location, 'a required property is missing' AS message FROM supplier WHERE s_suppkey % 4 = 0
+ UNION ALL SELECT 'entities.supplier:'||s_suppkey||'.s_acctbal', 'not a number' FROM supplier WHERE s_suppkey % 4 = 1
+ UNION ALL SELECT 'entities.supplier:'||s_suppkey||'.colour', 'the type has no such property' FROM supplier WHERE s_suppkey % 4 = 2
+ UNION ALL SELECT 'entities.supplier:'||s_suppkey||'.s_acctbal', 'more than one value' FROM supplier WHERE s_suppkey % 4 = 3""")
+def gate_conformance(spark, sf):
+    g = business_graph(spark, sf)
+    entity = F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("entity_id")
+    s = table(spark, sf, "supplier").select(entity, (F.col("s_suppkey") % 4).alias("k"), F.col("s_acctbal").cast("string").alias("value"))
+    row = lambda d, prop, pos, value: d.select("entity_id", F.lit(prop).alias("prop"), F.lit(pos).alias("pos"), value.alias("value"))
+    value = F.col("value")
+    props = row(s.where("k = 1"), "s_acctbal", 0, F.lit('"much"')).unionByName(row(s.where("k >= 2"), "s_acctbal", 0, value))
+    props = props.unionByName(row(s.where("k = 2"), "colour", 0, F.lit('"red"'))).unionByName(row(s.where("k = 3"), "s_acctbal", 1, value))
+    schemas = g.prop_schemas.where("owner_id = 'supplier'").withColumn("required", F.lit(True))
+    e = s.select("entity_id", F.lit("supplier").alias("type_id"))
+    return gates.conformance(g.with_(entities=e, entity_props=props, prop_schemas=schemas)).select("location", "message")
+
+
+@query("""SELECT 'f:'||o_custkey AS id, 'lt_placed' AS link_type_id, 'e_'||sha256('node|'||'c'||o_custkey)[1:12] AS to_id, count(*) AS n FROM orders GROUP BY ALL""")
+def migrate(spark, sf):
+    """An older graph of customers and orders, each order linked to its customer."""
+    o = table(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("o"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("c"), F.concat(F.lit("f:"), F.col("o_custkey").cast("string")).alias("f"))
+    node = lambda d, kind: d.select("id", F.lit(kind).alias("kind"), F.col("id").alias("label"), F.array("f").alias("fact_ids"))
+    nodes = node(o.select(F.col("o").alias("id"), "f"), "order").unionByName(node(o.select(F.col("c").alias("id"), "f").distinct(), "customer"))
+    edges = o.select(F.col("o").alias("source"), F.col("c").alias("target"), F.lit("placed").alias("kind"), F.lit("confirmed").alias("fidelity"), F.array("f").alias("fact_ids"))
+    links = build.migrate(nodes, edges)["links"].where("fidelity = 'claimed'")
+    return links.groupBy(F.get("fact_ids", F.lit(0)).alias("id"), "link_type_id", "to_id").agg(F.count("*").alias("n"))

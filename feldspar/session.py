@@ -22,9 +22,20 @@ def session(name: str = "feldspar", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors see. Where it is unset, a temporary folder for a local session, an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="feldspar-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` saved in the shared checkpoint folder of the session; a temporary one only where none is set."""
+    """``df`` saved in the shared checkpoint folder of the session."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="feldspar-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

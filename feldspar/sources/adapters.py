@@ -67,7 +67,7 @@ def document_graph(spark: SparkSession, sf_dir: str) -> OntologyFrames:
     facts = d.select(fact.alias("fact_id"), F.lit("knowledge").alias("kind"), "text", F.lit(0.7).alias("confidence"), fidelity.alias("fidelity"), full.alias("source_refs"))
     into = F.when((F.col("doc_id") % 10).isin(1, 2), F.concat(F.lit("d:"), (F.col("doc_id") - F.col("doc_id") % 10).cast("string")))
     members = F.when(F.col("doc_id") % 10 == 0, F.array(F.concat(F.lit("d:"), (F.col("doc_id") + 1).cast("string")), F.concat(F.lit("d:"), (F.col("doc_id") + 2).cast("string"))))
-    entities = d.select(entity.alias("entity_id"), F.concat(F.lit("doc_"), "lang").alias("type_id"), F.left("text", F.lit(40)).alias("label"), F.when(F.col("quality").isNull(), "orphan").otherwise("active").alias("status"), security.alias("security_id"), members.alias("resolved_from"), into.alias("merged_into"), F.array(fact).alias("fact_ids"), F.array("source").alias("source_ids"))
+    entities = d.select(entity.alias("entity_id"), F.concat(F.lit("doc_"), "lang").alias("type_id"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("label"), F.when(F.col("quality").isNull(), "orphan").otherwise("active").alias("status"), security.alias("security_id"), members.alias("resolved_from"), into.alias("merged_into"), F.array(fact).alias("fact_ids"), F.array("source").alias("source_ids"))
     values = d.select(entity.alias("entity_id"), F.lit("n_chars").alias("prop"), F.lit(0).alias("pos"), F.col("n_chars").cast("string").alias("value"), F.array(fact).alias("fact_ids"), fidelity.alias("fidelity"), F.lit(None).cast("string").alias("security_id"))
     types = d.select("lang").distinct().select(F.concat(F.lit("doc_"), "lang").alias("type_id"), F.concat(F.lit("Document "), "lang").alias("name"), F.lit("active").alias("status"))
     props = types.select(F.col("type_id").alias("owner_id"), F.lit("type").alias("owner_kind"), F.lit("n_chars").alias("prop"), F.lit("number").alias("value_kind"), F.struct(F.lit("max").alias("rule"), F.lit(None).cast("string").alias("by")).alias("reducer"))

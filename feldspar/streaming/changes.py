@@ -73,3 +73,10 @@ def hit_stream(hits: DataFrame, limits: cache.Limits | None = None) -> DataFrame
 
 def as_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
+
+
+def newest(spark: SparkSession, root: str) -> DataFrame:
+    """The state after the last burst that ``run_upserts`` has applied."""
+    snapshots = spark.read.parquet(root)
+    last = snapshots.agg(F.max("n")).first()[0]
+    return spark.read.parquet(f"{root}/n={last}")
