@@ -8,7 +8,7 @@ vectors, summed in component order, and a query's best of all tiles are merged b
 
 Edge cases: vectors that are null, all zero, or hold null or non-finite components take no part, nor do rows with a null
 id; vectors compare with vectors of their own dimension only; ties go to the smaller id; a query never finds its own id;
-of rows with the same id the best is listed once. Of equal vectors in a tile only the k + 1 smallest distinct ids are
+of rows with the same id the best is listed once; components may be as large or small as doubles are. Of equal vectors in a tile only the k + 1 smallest distinct ids are
 compared, as no other can be among the k nearest.
 """
 
@@ -31,12 +31,14 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 rows, their scales, and the norms of the quantised rows and of what they leave."""
-    scale = np.abs(x).max(axis=1) / 127
-    q = np.rint(x / scale[:, None]).astype("i1")
-    near = q * scale[:, None]
-    return q, scale, np.linalg.norm(near, axis=1), np.linalg.norm(x - near, axis=1)
+def quantised(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """int8 rows, their largest components, and the norms of the quantised rows, of what they leave and of the rows, all
+    three in units of the largest component, so that no norm overflows or vanishes."""
+    top = np.abs(x).max(axis=1)
+    unit = x / top[:, None]
+    q = np.rint(unit * 127).astype("i1")
+    near = q / 127.0
+    return q, top, np.linalg.norm(near, axis=1), np.linalg.norm(unit - near, axis=1), np.linalg.norm(unit, axis=1)
 
 
 def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, float]]:
@@ -50,20 +52,24 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     keep = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids)))) <= k
     ids, vectors = ids[keep], vectors[keep]
     repeats = len(ids) - len(np.unique(ids))  # rows that may stand in for a row with the same id
-    cq, cs, cn, cr = quantised(vectors)
-    whole = np.linalg.norm(vectors, axis=1)
+    cq, ctop, _, cr, whole = quantised(vectors)
     exact = "f4" if vectors.shape[1] * 127 * 127 < 1 << 24 else "f8"
     columns, out = cq.astype(exact).T, []
     for at in range(0, len(query_ids), 256):
         qid, x = query_ids[at : at + 256], queries[at : at + 256]
-        qq, qs, qn, qr = quantised(x)
-        near = (qq.astype(exact) @ columns) * (qs[:, None] * cs[None, :])
-        error = (qn[:, None] * cr[None, :] + qr[:, None] * whole[None, :]) * (1 + 1e-9) + 1e-12 * np.abs(near)
+        qq, _, qn, qr, _ = quantised(x)
         own = qid[:, None] == ids[None, :]
-        lower = np.where(own, -np.inf, near - error)
+        with np.errstate(over="ignore", invalid="ignore"):
+            # in units of the query's largest component, which don't change the order of its candidates
+            near = (qq.astype(exact) @ columns) / 127.0**2 * ctop[None, :]
+            error = (qn[:, None] * cr[None, :] + qr[:, None] * whole[None, :]) * ctop[None, :] * (1 + 1e-9) + 1e-12 * np.abs(near) + 1e-300
+            bounded = np.isfinite(near) & np.isfinite(error)  # others survive
+            upper = np.where(bounded, near + error, np.inf)
+            lower = np.where(own | ~bounded, -np.inf, near - error)
         least = np.partition(lower, len(ids) - k - repeats, axis=1)[:, len(ids) - k - repeats] if len(ids) > k + repeats else np.full(len(qid), -np.inf)
-        rows, cols = np.nonzero((near + error >= least[:, None]) & ~own)
-        scores = np.cumsum(x[rows] * vectors[cols], axis=1)[:, -1]
+        rows, cols = np.nonzero((upper >= least[:, None]) & ~own)
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = np.cumsum(x[rows] * vectors[cols], axis=1)[:, -1]
         best = np.lexsort((ids[cols], -scores, rows))
         rows, cols, scores = rows[best], cols[best], scores[best]
         if repeats:

@@ -43,6 +43,15 @@ def test_encoder_is_exact(plain, spark):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_on_random_texts(plain):
+    """Seeded texts of letters, marks, spaces and special tokens in any case."""
+    r = random.Random(11)
+    parts = [*"aAbZzéÉßΣ19.,;:!?'\"-_|<>#%&* \n\t\x0b", "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "<|", "|>", ". ", ", ", "don't", "the ", "'S "]
+    texts = ["a <|ENDOFTEXT|> b", "<|endoftext|><|EndOfText|>"] + ["".join(r.choice(parts) for _ in range(r.randrange(1, 40))) for _ in range(4000)]
+    got = WordEncoder(read_text(VOCABULARY)).encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_wavelet_matrix():
     r = np.random.default_rng(1)
     for n, top in ((0, 5), (1, 1), (700, 3), (5000, 50_000), (3000, 1 << 31)):
@@ -232,6 +241,15 @@ def test_nearest_repeated_rows(spark):
     assert found == {3: [(1, 9, 8.0), (2, 5, 4.0), (3, 6, 4.0), (4, 7, 4.0)], 20: [(1, 3, 2.0), (2, 9, 2.0), (3, 5, 1.0), (4, 6, 1.0)]}
 
 
+def test_nearest_extreme_magnitudes(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e200, 1.0]), (2, [1e160, 1.0]), (3, [1.0, 1.0]), (4, [5e-324, 0.0]), (5, [1e-310, 1e-310]), (6, [-1e308, 1e308]), (7, [1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(q.vec_id, q.score) for q in knn_tiles.nearest(df, F.col("vec_id") == 0, k=20).orderBy("rank").collect()]
+    assert got == [(7, 1e308), (1, 1e200), (2, 1e160), (3, 1.0), (5, 1e-310), (4, 5e-324), (6, -1e308)]
+    tiny = [(q.vec_id, q.score) for q in knn_tiles.nearest(df, F.col("vec_id") == 5, k=2).orderBy("rank").collect()]
+    assert [v for v, _ in tiny] == [7, 1]
+
+
 # compaction -----------------------------------------------------------------------------------------------------------
 
 
