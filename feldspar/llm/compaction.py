@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 
+#: Names of files, of some 100 bytes each, that a reader ships to its tasks.
+MOST_NAMES = 100_000
+
+
 @dataclass(frozen=True)
 class Shard:
     """One immutable file: its path under the store and its size in bytes."""
@@ -111,26 +115,37 @@ class ShardStore:
             level, top = level + 1, top * self.fanout
         return level
 
-    def plan(self) -> list[Shard]:
-        """The files of the lowest tier that is due for a merge."""
+    def plan(self, shards: list[Shard]) -> list[list[Shard]]:
+        """The files of each tier that is due for a merge, lowest tier first."""
         tiers: dict[int, list[Shard]] = {}
-        for s in self.manifest()["shards"]:
+        for s in shards:
             if s.size < self.target // 2:
                 tiers.setdefault(self.tier(s.size), []).append(s)
-        due = [t for t, files in sorted(tiers.items()) if len(files) >= self.fanout]
-        return tiers[due[0]] if due else []
+        return [files for _, files in sorted(tiers.items()) if len(files) >= self.fanout]
 
     def compact(self) -> int:
-        """Merge until no tier is due; the version then current."""
-        while files := self.plan():
-            now = self.manifest()
+        """Merge until no tier that is due packs any tighter; the version then current.
+
+        A merge is planned and committed on one manifest: if another writer commits in between, CommitConflict is raised
+        and nothing is published.
+        """
+        while self._merged_one(self.manifest()):
+            pass
+        return self.manifest()["version"]
+
+    def _merged_one(self, now: dict) -> bool:
+        for files in self.plan(now["shards"]):
             merged = self._write(self._packed(files, now["schema"]))
             gone = {s.path for s in files}
-            if len(merged) >= len(files):  # the scan packs no tighter: leave them
-                self._discard(merged)
-                break
-            self.commit(now["version"], now["schema"], [s for s in now["shards"] if s.path not in gone] + merged)
-        return self.manifest()["version"]
+            if len(merged) < len(files):
+                try:
+                    self.commit(now["version"], now["schema"], [s for s in now["shards"] if s.path not in gone] + merged)
+                except CommitConflict:
+                    self._discard(merged)
+                    raise
+                return True
+            self._discard(merged)  # the scan packs no tighter: leave them
+        return False
 
     def _packed(self, files: list[Shard], schema: str) -> DataFrame:
         session = self.spark.newSession()
@@ -143,12 +158,20 @@ class ShardStore:
         for folder in {s.path.rpartition("/")[0] for s in shards}:
             self._fs().delete(self._path(folder), True)
 
-    def vacuum(self) -> int:
-        """Delete data folders that the newest manifest doesn't name: then older versions can't be read any more."""
-        live, gone = {s.path.split("/")[1] for s in self.manifest()["shards"]}, 0
+    def vacuum(self, *, grace_seconds: float = 3600) -> int:
+        """Delete older manifests and the data folders that the newest one doesn't name; the number of folders.
+
+        Folders younger than ``grace_seconds`` stay, as another writer may be about to name them.
+        """
+        from time import time
+
+        now, gone = self.manifest(), 0
+        live = {s.path.split("/")[1] for s in now["shards"]}
+        for v in self.versions()[:-1]:
+            self._fs().delete(self._path(f"manifest/v{v:08d}.json"), False)
         if self._fs().exists(self._path("data")):
             for f in self._fs().listStatus(self._path("data")):
-                if f.getPath().getName() not in live:
+                if f.getPath().getName() not in live and f.getModificationTime() <= 1000 * (time() - grace_seconds):
                     gone += bool(self._fs().delete(f.getPath(), True))
         return gone
 
@@ -161,4 +184,5 @@ class ShardStore:
         files = self.spark.read.schema(StructType.fromJson(json.loads(now["schema"]))).parquet(*(f"{self.root}/{s.path}" for s in now["shards"]))
         names = self.spark.createDataFrame([(s.path.rpartition("/")[2], i) for i, s in enumerate(now["shards"])], "__name string, shard_id long")
         named = files.select("*", F.col("_metadata.file_name").alias("__name"), F.col("_metadata.row_index").alias("row_in_shard"))
-        return named.join(names, "__name").drop("__name")
+        # a row a file: shipped to all tasks up to a stated number of files, joined beyond it
+        return named.join(F.broadcast(names) if len(now["shards"]) <= MOST_NAMES else names, "__name").drop("__name")

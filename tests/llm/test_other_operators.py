@@ -268,7 +268,26 @@ def test_compaction(spark):
     assert store.read(1).count() == docs.where("doc_id % 6 = 0").count()
     with pytest.raises(compaction.CommitConflict):
         store.commit(3, "x", [])
-    assert store.vacuum() and store.read().count() == docs.count()
+    assert not store.vacuum() and store.vacuum(grace_seconds=0) and store.read().count() == docs.count()
+    assert store.versions() == [after["version"]]
+
+
+def test_compaction_beside_another_writer(spark, monkeypatch):
+    docs, root = documents(spark), new_dir(spark, "s")
+    one, other = (compaction.ShardStore(spark, root, target_bytes=400_000, fanout=2, smallest=20_000) for _ in range(2))
+    for i in range(4):
+        one.append(docs.where(f"doc_id % 4 = {i}").coalesce(1))
+    write = one._write
+
+    def slowly(*a):
+        out = write(*a)
+        other.compact()  # commits first
+        return out
+
+    monkeypatch.setattr(one, "_write", slowly)
+    with pytest.raises(compaction.CommitConflict):
+        one.compact()
+    assert sorted(r.doc_id for r in one.read().collect()) == sorted(r.doc_id for r in docs.collect())
 
 
 def test_compaction_odd_rows(spark):
