@@ -146,25 +146,46 @@ class WordEncoder:
             out.append(b"".join(map(get, t.split())))
         return out
 
-
     def whole(self, text: bytes) -> bytes:
         return array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
 
 class _Kept(dict):
-    """Ids by chunk; looks up what it doesn't have."""
+    """Ids by chunk; looks up what it doesn't have.
+
+    A chunk of lower-case letters of ASCII and U+00DF..U+00FF is one word that normalising leaves as it is, so the model
+    gets it at once, without the steps before it. That is tried on all these letters first, and left out for a
+    tokenizer where it doesn't hold.
+    """
+
+    LETTERS = re.compile(rb"(?:[a-z]|\xC3[\x9F-\xB6\xB8-\xBF])+")
 
     def __init__(self, tokenizer, longest: int):
         super().__init__()
-        self.tokenizer, self.longest = tokenizer, longest
+        self.tokenizer, self.longest, self.model, self.bytes = tokenizer, longest, tokenizer.model, _byte_letters()
+        letters = [chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0x100)) if c != 0xF7]
+        tries = ["".join(letters).encode(), *(x.encode() for c in letters for x in (c, f"th{c}", f"{c}{c}n"))]
+        self.direct = all(self.one_word(x) == self.any(x) for x in tries)
+
+    def any(self, chunk: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def one_word(self, chunk: bytes) -> bytes:
+        return array("I", [x.id for x in self.model.tokenize(chunk.decode("latin-1").translate(self.bytes))]).tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = array("I", self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        ids = self.one_word(chunk) if self.direct and self.LETTERS.fullmatch(chunk) else self.any(chunk)
         if len(chunk) <= self.longest:
             self[chunk] = ids
         return ids
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level tokenizers write for a byte: itself if it is printable in Latin-1, else the next from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in plain)}
+
+
 def read_text(path: str) -> str:
     """A tokenizer's file (a few MB, whatever the data), read once on the driver and shipped to the workers."""
     with open(path, encoding="utf-8") as f:
