@@ -22,6 +22,8 @@ STOP_WORDS = (
     "ha he her his ich il im in is ist it la las le les lo los mit nicht no not of on or ou par pas per por pour que qui se sich sie sont "
     "su sur that the this to un una und une von was with y zu".split()
 )
+#: How a stop word may stand in a text: as listed, with a capital, or in capitals.
+STOP_FORMS = tuple(sorted({form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())}))
 
 
 @dataclass(frozen=True)
@@ -63,7 +65,7 @@ def _repeated(words: Column) -> Column:
 
 
 def _of_words(words: Column) -> Column:
-    stop = F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS)))
+    stop = F.size(F.filter(words, lambda w: w.isin(*STOP_FORMS)))
     chars = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w))
     return F.struct(F.size(words).cast("long").alias("n_words"), chars.alias("word_chars"), stop.cast("long").alias("n_stop"), _repeated(words).alias("n_repeat_words"))
 

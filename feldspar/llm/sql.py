@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feldspar.llm.quality_rules import STOP_WORDS
+from feldspar.llm.quality_rules import STOP_FORMS
 
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_STOP = ", ".join(f"'{w}'" for w in STOP_FORMS)
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

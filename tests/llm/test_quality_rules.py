@@ -48,6 +48,13 @@ def test_verdict_and_stage(spark):
     assert quality_rules.apply_rules(no_documents(spark)).count() == 0
 
 
+def test_stop_words_in_any_case(spark):
+    body = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, f"{body} The Der FÜR und OF {body}"), (2, f"{body} tHe dEr fuer {body}"), (3, f"the of und für der {body} {body}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_stop for r in quality_rules.apply_rules(docs).collect()} == {1: 5, 2: 0, 3: 5}
+
+
 def test_labels(spark):
     docs, labels = documents(spark), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     rows = quality_rules.apply_rules(docs).where("NOT base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().collect()
