@@ -69,12 +69,49 @@ def _in(value: Column, low: int, high: int) -> Column:
 
 
 LOCAL = "A-Za-z0-9._%+-"
+#: The countries of each length of an IBAN, as its public registry has them.
+IBAN_COUNTRIES = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+#: What may stand between an IBAN's groups of four.
+GAP = r"[\x20\xA0-]"
+
+
+def _iban() -> str:
+    """An IBAN as one run, or in groups of four, whose number its country gives, so that no word after it is taken along."""
+
+    def grouped(length: int, countries: str) -> str:
+        fours, rest = divmod(length - 4, 4)
+        last = f"{GAP}[A-Z0-9]{{{rest}}}" if rest else ""
+        return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:{GAP}[A-Z0-9]{{4}}){{{fours}}}{last}"
+
+    run = "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([run, *(grouped(n, c) for n, c in IBAN_COUNTRIES.items())])})"
+
+
 KINDS = (
     Kind("email", rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), base=True),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: F.forall(F.split(m, r"\."), lambda x: x.rlike("^0*([0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$")), base=True),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda m: _in(digits(m), 16, 19) & luhn(digits(m)), base=True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: _in(digits(m), 8, 15), base=True),
-    Kind("iban", "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", mod_97, alone=True),
+    Kind("iban", _iban(), lambda m: mod_97(F.regexp_replace(m, GAP, "")), alone=True),
     Kind("short_card", r"[0-9](?:[\x20-]?[0-9])++", lambda m: _in(digits(m), 13, 15) & luhn(digits(m)), score=0.3, bonus=0.4, context="card|carte|karte|tarjeta|visa|amex", alone=True),
     Kind("tax_id", "[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), score=0.3, bonus=0.4, context="ssn|social security|tax", alone=True),
 )

@@ -51,6 +51,15 @@ def test_added_spans_and_redaction(spark):
     assert pii.find(no_documents(spark)).count() == 0
 
 
+def test_grouped_ibans(spark):
+    good = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "BE68 5390 0754 7034", "FR14 2004 1010 0505 0001 3M02 606", "NO93-8601-1117-947", "GB82WEST12345698765432"]
+    bad = ["DE88 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 0", "XDE89 3704 0044 0532 0130 00", "ZZ89 3704 0044 0532 0130 00", "DE89 37040 0440 5320 1300 0"]
+    texts = [" ".join(f"pay {x} AT ONCE;" for x in good), " ".join(f"pay {x}A or {x[2:]}," for x in good), " ".join(f"pay {x}." for x in bad), None]
+    got = {r.doc_id: r.iban for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [texts[0][s.start : s.end] for s in got[0]] == good
+    assert got[1] == [] and got[2] == [] and got[3] == []
+
+
 def test_many_matches_and_long_runs(spark):
     text = " ".join(f"u{i}@ex.org" for i in range(3000)) + " " + "7" * 100_000 + " " + "z" * 200_000 + "@"
     row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
