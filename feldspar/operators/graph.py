@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from feldspar.errors import NotFound
 from feldspar.model import WITHHELD, OntologyFrames
 from feldspar.session import checkpointed
 
@@ -131,6 +132,47 @@ def heads(g: OntologyFrames, *, reveal: bool = False) -> DataFrame:
     return got.withColumn("head", head).join(hidden, ["entity_id", "prop"]).select("entity_id", "prop", F.when(F.col("withheld"), F.lit(WITHHELD)).otherwise(F.col("head")).alias("head"), "withheld")
 
 
+def views(g: OntologyFrames, *, reveal: bool = False) -> DataFrame:
+    """One row for each entity with all that its own and its members' records say.
+
+    entity_id, type_id, type_name, label, status, security_id, resolved_from, merged_into, restricted; aliases by text
+    and source; properties: values by property, the entity's own first; receipts: its and its members' facts by id; heads
+    and derived: value by property. Collections without rows are empty. Every part is grouped by entity, so a filter on
+    entity_id reaches all of them.
+    """
+    listed = lambda df, name, *c: df.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct(*c))).alias(name))
+    by_prop = lambda df, name, c: df.groupBy("entity_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("prop", c)))).alias(name))
+    value = F.struct("ord", "pos", "value", "fidelity", "withheld", "from_entity", "fact_ids")
+    values = properties(g, reveal=reveal).groupBy("entity_id", "prop").agg(F.array_sort(F.collect_list(value)).alias("v"))
+    parts = (
+        listed(aliases(g), "aliases", "text", "source_id", "from_entity"),
+        by_prop(values, "properties", F.transform("v", lambda v: v.dropFields("ord", "pos"))),
+        listed(facts(g), "receipts", "fact_id", "kind", "text", "confidence", "fidelity"),
+        by_prop(heads(g, reveal=reveal), "heads", F.col("head")),
+        by_prop(derived(g, strict_security=not reveal), "derived", F.col("value")),
+    )
+    names = g.entity_types.select("type_id", F.col("name").alias("type_name"))
+    own = g.entities.select("entity_id", "type_id", "label", "status", "security_id", "resolved_from", "merged_into")
+    out = reduce(lambda a, b: a.join(b, "entity_id", "left"), parts, own.join(names, "type_id", "left"))
+    empty = lambda df, c: F.coalesce(F.col(c), F.from_json(F.lit("{}" if c in ("properties", "heads", "derived") else "[]"), df.schema[c].dataType))
+    full = {c: empty(out, c) for c in ("aliases", "properties", "receipts", "heads", "derived", "resolved_from")}
+    return out.withColumns(full | {"restricted": F.col("security_id").isNotNull()})
+
+
+def entity(g: OntologyFrames, entity_id: str, *, reveal: bool = False) -> Row:
+    """The view of one entity; NotFound if there is none of that id."""
+    row = views(g, reveal=reveal).where(F.col("entity_id") == entity_id).first()
+    if row is None:
+        raise NotFound(f"entity {entity_id}")
+    return row
+
+
+def counts(g: OntologyFrames) -> DataFrame:
+    """collection, n: the sizes a manifest states."""
+    names = ("entities", "links", "facts", "entity_types", "link_types", "resolutions")
+    return reduce(DataFrame.unionByName, (getattr(g, n).agg(F.lit(n).alias("collection"), F.count("*").alias("n")) for n in names))
+
+
 def incidence(g: OntologyFrames) -> DataFrame:
     """entity_id, link_id, neighbor, direction: each link once for each end; a self-loop once, as ``both``."""
     out = g.links.where("from_id <> to_id").select(F.col("from_id").alias("entity_id"), "link_id", "link_type_id", F.col("to_id").alias("neighbor"), F.lit("out").alias("direction"))

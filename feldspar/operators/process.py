@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feldspar.model import OntologyFrames
@@ -53,6 +53,28 @@ def drift_action(d: Column, alert: float = 0.15, demote: float = 0.35) -> Column
     return F.when(d >= demote, "demote").when(d >= alert, "alert").otherwise("none")
 
 
+def run_conformance(g: OntologyFrames, current: DataFrame | None = None, alert: float = 0.15, demote_at: float = 0.35) -> tuple[OntologyFrames, DataFrame]:
+    """Demotes units that drifted too far: the graph after that, and logic_unit_id, drift, action of those with an action.
+
+    A demoted unit is observed again, without contract, with an operation by ``system``; each action leaves a note.
+    """
+    acted = drift(g, current).select("logic_unit_id", "drift", drift_action(F.col("drift"), alert, demote_at).alias("action")).where("action <> 'none'")
+    gone = acted.where("action = 'demote'").select("logic_unit_id", "drift")
+    units = g.logic_units.join(gone.withColumnRenamed("drift", "far"), "logic_unit_id", "left")
+    units = units.withColumn("state", F.when(F.col("far").isNotNull(), "observed").otherwise(F.col("state"))).select(g.logic_units.columns)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("logic_unit_id"))  # executable units that drifted: few
+    last = lambda df: df.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("last"))
+    pos = (F.col("last") + F.col("k")).cast("int").alias("pos")
+    why = F.format_string("drift %.2f", "drift")
+    ops = gone.withColumn("k", place).crossJoin(last(g.operations))
+    ops = ops.select(pos, F.lit("demote").alias("op"), F.col("logic_unit_id").alias("target"), F.lit("system").alias("author"), why.alias("detail"))
+    note = F.to_json(F.struct(F.concat(F.lit("conformance_"), "action").alias("kind"), "logic_unit_id", "drift", why.alias("text")))
+    notes = acted.withColumn("k", place).crossJoin(last(g.notes)).select(pos, note.alias("text"))
+    contracts = g.lu_contracts.join(gone, "logic_unit_id", "left_anti")
+    out = g.with_(logic_units=units, lu_contracts=contracts, operations=g.operations.unionByName(ops), notes=g.notes.unionByName(notes))
+    return out, acted
+
+
 def floor_level(reversibility: Column, blast: Column, trust: Column, large: int = 50, penalty: int = 1) -> Column:
     """The highest level of autonomy: 3 or 2 if reversible, 1 or 0 if not, by blast radius; less a penalty if judged."""
     base = F.when(reversibility == "reversible", F.when(blast > large, 2).otherwise(3)).otherwise(F.when(blast > large, 0).otherwise(1))

@@ -97,3 +97,31 @@ def fold_names(names: DataFrame) -> DataFrame:
     s = names.groupBy("name").agg(F.sum("n").alias("n")).withColumn("sig", name_signature(F.col("name")))
     best = F.first("name").over(Window.partitionBy("sig").orderBy(F.desc("n"), F.length("name"), "name"))
     return s.select("name", F.when(F.col("sig") == "", F.col("name")).otherwise(best).alias("canonical"))
+
+
+def ends_of_chains(steps: dict[str, str]) -> dict[str, str]:
+    """The last name of the chain that starts at each key; a chain that turns into a ring ends where it enters the ring."""
+    out = {}
+    for name in steps:
+        met, at = set(), name
+        while at in steps and at not in met:
+            met.add(at)
+            at = steps[at]
+        out[name] = at
+    return out
+
+
+def canonical_names(names: DataFrame, proposals: list[tuple[str, str]] = ()) -> DataFrame:
+    """name, canonical: names folded by signature, then by a model's ``proposals`` (from, to), a later one in place of an earlier.
+
+    A proposal counts only if both names were observed and differ. Only observed names among the proposals come to the
+    driver, so what is collected is bounded by the proposals' number.
+    """
+    spark, folded = names.sparkSession, fold_names(names)
+    if not proposals:
+        return folded
+    named = spark.createDataFrame([(x,) for x in sorted({x for p in proposals for x in p})], "name string")
+    known = {r["name"] for r in named.join(names.select("name"), "name", "left_semi").collect()}
+    ends = ends_of_chains({a: b for a, b in proposals if a in known and b in known and a != b})
+    to = spark.createDataFrame(list(ends.items()), "canonical string, end string")
+    return folded.join(F.broadcast(to), "canonical", "left").select("name", F.coalesce("end", "canonical").alias("canonical"))

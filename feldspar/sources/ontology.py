@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feldspar.errors import FeldsparError, InvalidGraph
 from feldspar.model import DERIVED, REDUCER, REFS, OntologyFrames
 
 _PROV = "provenance struct<fact_ids:array<string>,source_ids:array<string>>"
@@ -29,7 +31,7 @@ DOCUMENT = {
 KNOWN_KEYS = {*DOCUMENT, "schema", "manifest", "glossary", "notes", "policy", "version", "extensions"}
 
 
-class SchemaError(ValueError):
+class SchemaError(FeldsparError, ValueError):
     """The text is no document of the contract."""
 
 
@@ -38,6 +40,30 @@ def load_document(spark: SparkSession, path: str) -> OntologyFrames:
     return frames(spark.read.text(path, wholetext=True).select(F.col("value").alias("doc")))
 
 
+def open_document(spark: SparkSession, path: str, shown: int = 5) -> OntologyFrames:
+    """The frames of a document that passes all gates; InvalidGraph with the first errors otherwise."""
+    from feldspar.operators import gates
+
+    g = load_document(spark, path)
+    report = gates.validate(g, path, shown)
+    if not report["valid"]:
+        first = "; ".join(f"{e['code']} at {e['location']}: {e['message']}" for e in report["errors"])
+        raise InvalidGraph(f"{path}: {report['error_count']} violations: {first}")
+    return g
+
+
+def check(spark: SparkSession, path: str, shown: int = 5) -> dict:
+    """The report of ``gates.validate`` on a document; one that can't be read or parsed has that as its one error."""
+    from feldspar.operators import gates
+
+    try:
+        return gates.validate(load_document(spark, path), path, shown)
+    except (SchemaError, PySparkException) as e:
+        code = "schema" if isinstance(e, SchemaError) or "MALFORMED_RECORD" in str(e) else "io"
+        message = str(e).splitlines()[0]
+        return {"valid": False, "path": path, "error_count": 1, "errors": [{"code": code, "location": path, "message": message}]}
+
+
 def frames(doc: DataFrame) -> OntologyFrames:
     """``doc``: one row with the document's text in ``doc``."""
     spark = doc.sparkSession
