@@ -218,6 +218,37 @@ def drift(spark, sf):
     return d.select("logic_unit_id", F.round("drift", 6).alias("drift"), process.drift_action(F.col("drift")).alias("action"))
 
 
+@query("""SELECT 'entities' AS collection, count(*) AS n FROM documents UNION ALL SELECT 'links', 0 UNION ALL SELECT 'facts', count(*) FROM documents
+ UNION ALL SELECT 'entity_types', count(*) FROM (SELECT DISTINCT lang FROM documents) UNION ALL SELECT 'link_types', 0
+ UNION ALL SELECT 'resolutions', count(*) FILTER (doc_id % 10 = 0) FROM documents""")
+def manifest_counts(spark, sf):
+    return graph.counts(document_graph(spark, sf))
+
+
+@query(f"""WITH e AS ({_ENTITIES}), n AS (SELECT 'customer:'||c_custkey AS entity_id, coalesce(k, 0)::VARCHAR AS v FROM customer
+  LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS k FROM orders GROUP BY 1) USING (c_custkey))
+ SELECT entity_id, upper(type_id[1])||type_id[2:] AS type_name, label, 1 AS n_aliases, CASE WHEN type_id IN ('region', 'nation') THEN 0 ELSE 1 END AS n_properties,
+  CASE type_id WHEN 'customer' THEN 2 WHEN 'nation' THEN 1 ELSE 0 END AS n_derived, 0 AS n_heads, v AS order_count
+ FROM e LEFT JOIN n USING (entity_id)""")
+def entity_views(spark, sf):
+    v = graph.views(business_graph(spark, sf))
+    sizes = [F.size(c).alias(f"n_{c}") for c in ("aliases", "properties", "derived", "heads")]
+    return v.select("entity_id", "type_name", "label", *sizes, F.element_at("derived", F.lit("order_count")).alias("order_count"))
+
+
+@query("""SELECT DISTINCT c_mktsegment AS name, CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'MACHINERY') THEN 'BUILDING' ELSE c_mktsegment END AS canonical FROM customer""")
+def canonical_names(spark, sf):
+    names = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.count("*").alias("n"))
+    proposals = [("AUTOMOBILE", "MACHINERY"), ("MACHINERY", "BUILDING"), ("BUILDING", "NO SUCH SEGMENT"), ("NOT THERE", "HOUSEHOLD")]
+    return resolution.canonical_names(names, proposals)
+
+
+@query(f"SELECT logic_unit_id, drift, action FROM ({ORACLES['drift']}) WHERE action <> 'none'")
+def conformance_loop(spark, sf):
+    _, acted = process.run_conformance(_process_graph(spark, sf))
+    return acted.select("logic_unit_id", F.round("drift", 6).alias("drift"), "action")
+
+
 @query(f"{_STEPS} SELECT lu AS logic_unit_id, round(avg(de_facto::INT), 6) AS ratio FROM t GROUP BY 1")
 def eligibility(spark, sf):
     return process.eligible(_process_graph(spark, sf)).select("logic_unit_id", F.round("ratio", 6).alias("ratio"))
