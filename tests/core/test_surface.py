@@ -18,9 +18,8 @@ def test_open_and_check(spark, tmp_path):
     good.write_text(json.dumps(document()))
     bad.write_text(json.dumps(document(schema="other")))
     odd.write_text("{ no json")
-    report = ontology.check(spark, str(good))
-    if report["valid"]:
-        assert ontology.open_document(spark, str(good)).entities.count() == 4
+    assert ontology.check(spark, str(good)) == {"valid": True, "path": str(good), "error_count": 0, "errors": []}
+    assert ontology.open_document(spark, str(good)).entities.count() == 4
     with pytest.raises(errors.InvalidGraph):
         ontology.open_document(spark, str(bad))
     assert any(e["code"] == "schema" for e in ontology.check(spark, str(bad))["errors"])
