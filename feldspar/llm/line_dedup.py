@@ -6,10 +6,10 @@ Tokens with a digit are
 variable fields from the start, unless they are over half of the line: then all count as they are, so that unrelated
 rows of figures differ.
 
-A node that several documents reach learns a template: it starts as the first line there (of the first document by id),
-and lines of other documents take it if they agree with it in MIN_SIMILAR of their constant fields. Where any line that
-takes the template differs from it, it has a variable field. A template that keeps MIN_CONSTANT of its fields is
-boilerplate or a copied passage: its lines are dropped from all documents but the first, so one copy of a passage stays.
+A node that several documents reach learns as many templates as its lines need. Its lines come in order of document (by
+id) and place: each takes the first template, started by another document, that it agrees with in MIN_SIMILAR of their
+constant fields, and starts one if there is none. Where any line that takes the template differs from it, it has a
+variable field. A template that keeps MIN_CONSTANT of its fields is boilerplate or a copied passage: its lines are dropped from all documents but the first, so one copy of a passage stays.
 Templates of lines under MIN_HALVED tokens count only if lines of two documents besides the first take them, and lines under MIN_LEARNED tokens are compared as wholes only: in short lines of prose a word or two differ by chance.
 Equal lines (digits aside) are the same template whatever else the tree holds, and are dropped likewise. A line under
 MIN_TOKENS tokens says little: its template is the line itself, digits included, and recurs if SHORT_DOCUMENTS documents
@@ -20,7 +20,9 @@ Lines are compared by FIELDS fields of equal numbers of tokens (but for one) and
 whole lines by 128 bits. Lines are parsed and compared by built-in functions without lambdas, so that this
 is compiled. Only hashes, row keys and fields are shuffled; texts once, to drop their lines. A node's first line and its
 counts are aggregated before the shuffle, and each join is an equi-join whose large side may be split, so a very common
-line is no hot task.
+line is no hot task. Most lines of a node take its first template, which needs one join. The others are grouped by equal
+fields, and the groups dealt to keys that two of them share if and only if they are alike; by these keys the further
+templates are found in rounds, without comparing pairs, until no line is left.
 
 Edge cases: null texts stay null; lines are split at \\n and kept ones rejoined unchanged; rows with equal id and text
 are one document; rows with equal id and different texts are not; a text that loses all its lines becomes empty (or its
@@ -32,8 +34,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feldspar.llm.common import SPACE, new_dir, scratch, written
@@ -41,6 +44,8 @@ from feldspar.llm.common import SPACE, new_dir, scratch, written
 DEPTH, MIN_TOKENS, MIN_LEARNED, MIN_HALVED, SHORT_DOCUMENTS = 3, 5, 8, 14, 10
 MIN_SIMILAR, MIN_CONSTANT, FIELDS = 0.7, 0.5, 8
 VARIABLE = "<*>"
+#: Pairs of these blocks of fields: lines that differ in at most two fields have one pair in common.
+BLOCKS = ((0, 4), (1, 5), (2, 6), (3, 7))
 
 
 def _byte(tokens: Column, f: int) -> Column:
@@ -110,21 +115,88 @@ def _row(id_col: str, text_col: str) -> Column:
 
 
 def _taken(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines that take a node's template (row, line, node), and the templates that count (node, seed, n, mask, n_lines)."""
+    """Lines that take a template (row, line, node: a hash of the template), and the templates that count (node, seed, n, mask, n_lines)."""
     each = F.explode(F.array_compact(F.array("leaf", "left", "most", "right"))).alias("node")
     nodes = lines.where(F.col("leaf").isNotNull()).select("i", "row", "line", "n", "s", each)
     seed = F.min(F.struct("i", "row", "line", "s")).alias("seed")
     shared = nodes.groupBy("node").agg(seed, F.max(F.struct("i", "row")).alias("last")).where("seed.row <> last.row").select("node", "seed")
-    hits = nodes.select("row", "line", "n", "s", "node").join(shared, "node").where("row <> seed.row")
+    hits = nodes.join(shared, "node")
     pair = F.col("s"), F.col("seed.s")
     alike = F.bit_count(agreed(*pair)) >= MIN_SIMILAR * F.bit_count(constant(*pair))
-    taken = hits.where(alike).select("row", "line", "n", "node", "seed", agreed(*pair).alias("mask"))
-    taken = written(taken, new_dir(lines.sparkSession, "line-templates"))
+    first = alike & (F.col("row") != F.col("seed.row"))
+    rest = F.when(~first, F.struct("i", "s")).alias("rest")
+    hits = hits.where(first | (F.col("s") != F.col("seed.s"))).select("row", "line", "n", "node", "seed", agreed(*pair).alias("mask"), rest)
+    hits = written(hits, new_dir(lines.sparkSession, "line-templates"))
+    taken = hits.where("rest IS NULL").drop("rest")
+    rest = hits.where("rest IS NOT NULL").select("rest.*", "row", "line", "n", "node")
+    if not rest.isEmpty():
+        taken = taken.unionByName(written(_further(rest), new_dir(lines.sparkSession, "line-templates")))
     learned = taken.groupBy("node").agg(F.min("seed").alias("seed"), F.min("n").alias("n"), F.bit_and("mask").alias("mask"), F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n_lines"))
     enough = (F.col("n") >= MIN_HALVED) | (F.col("low") != F.col("high"))
     return taken, learned.where(enough & (F.bit_count("mask") >= MIN_CONSTANT * F.least("n", F.lit(FIELDS))))
 
 
+def _key(fields: tuple[int, ...], number: int) -> Column:
+    """The given fields of s, and which they are."""
+    bits = sum(0xFF << 8 * f for f in fields)
+    return F.struct(F.lit(number).alias("which"), F.col("s").bitwiseAND(F.lit(bits - (bits >> 63 << 64))).alias("held"))
+
+
+def _rough() -> Column:
+    """Keys of which lines that are alike share one."""
+    return F.array(*(_key(x + y, k) for k, (x, y) in enumerate(combinations(BLOCKS, 2))))
+
+
+def _exact() -> Column:
+    """Keys, by s and its constant fields (bits), of which lines of different fields share one if and only if they are alike.
+
+    Of c constant fields, 0.3 c may differ: two if at most one of the eight is variable in both, one if at most four are.
+    """
+    keys = []
+    for size, least, most in ((6, 0, 1), (7, 2, 4)):
+        for fields in combinations(range(FIELDS), size):
+            n_variable = size - F.bit_count(F.col("bits").bitwiseAND(F.lit(sum(1 << 8 * f for f in fields))))
+            keys.append(F.when(n_variable.between(least, most), _key(fields, len(keys))))
+    return F.array_compact(F.array(*keys))
+
+
+def _dealt(groups: DataFrame, keys: Column) -> DataFrame:
+    """``groups`` by those of their keys (key) that several documents hold."""
+    held = groups.select("*", F.explode(keys).alias("key"))
+    live = held.groupBy("node", "key").agg(F.min(F.struct("i", "row")).alias("first"), F.max("last").alias("last")).where("first.row <> last.row")
+    return held.join(live.select("node", "key"), ["node", "key"], "left_semi")
+
+
+def _seeds(dealt: DataFrame) -> DataFrame:
+    """Of groups by key, those that start a template: no earlier one of another document that they share a key with does.
+
+    A round settles each group that has no unsettled one before it, and those that share a key with it; at least the
+    first group of each node. Groups of one key have at most 65,536 different fields.
+    """
+    spark, left, paths = dealt.sparkSession, dealt.drop("last"), []
+    by_key, by_group = Window.partitionBy("node", "key"), Window.partitionBy("node", "s")
+    while not left.isEmpty():
+        paths.append(new_dir(spark, "line-seeds"))
+        headed = left.withColumn("head", F.min(F.struct("i", "row")).over(by_key)["row"])
+        seeds = headed.withColumn("seed", F.min(F.col("head") == F.col("row")).over(by_group))
+        led = seeds.withColumn("led", F.max("seed").over(by_key) & (F.col("head") != F.col("row")))
+        settled = written(led.withColumn("taken", F.max("led").over(by_group)).drop("head", "led"), paths[-1])
+        left = settled.where("NOT seed AND NOT taken").drop("seed", "taken")
+    return spark.read.schema(settled.schema).parquet(*paths).where("seed").drop("seed", "taken") if paths else left
+
+
+def _further(rest: DataFrame) -> DataFrame:
+    """Lines (i, row, line, n, node, s) that don't take the first template of their node, with the further one they take."""
+    spark, place = rest.sparkSession, F.struct("i", "row", "line", "s")
+    groups = rest.groupBy("node", "s").agg(F.min(F.struct("i", "row", "line")).alias("first"), F.max(F.struct("i", "row")).alias("last")).select("node", "s", "first.*", "last")
+    near = _dealt(groups, _rough()).drop("key").distinct().select("*", constant(F.col("s"), F.col("s")).alias("bits"))
+    dealt = written(_dealt(near, _exact()).drop("bits"), new_dir(spark, "line-keys"))
+    seeds = _seeds(dealt).groupBy("node", "key").agg(F.min(place).alias("seed"))
+    found = dealt.join(seeds, ["node", "key"]).where(F.col("seed") <= place).groupBy("node", "s").agg(F.min("seed").alias("seed"))
+    taken = rest.join(found, ["node", "s"]).where("row <> seed.row")
+    return taken.select("row", "line", "n", F.xxhash64("node", "seed.s").alias("node"), "seed", agreed(F.col("s"), F.col("seed.s")).alias("mask"))
+
+
 def templates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The learned templates: doc_id and line of the first line, its number of tokens, of its constant fields, and n_lines of other documents."""
     path = new_dir(docs.sparkSession, "templates")

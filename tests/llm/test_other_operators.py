@@ -432,6 +432,54 @@ def test_line_dedup_learns_fields(spark):
     assert [tuple(r) for r in line_dedup.templates(docs).collect()] == [(0, 1, 10, 6, 2)]
 
 
+def test_line_dedup_many_templates_a_node(spark):
+    """A node learns as many templates as its lines need, whatever its first line is."""
+    kinds = [
+        ("Posted on board seven of the old house by nobody", 1), ("Posted on board by {} about garden matters here today", 4), ("Posted on board {} red green blue black white brown", 3),
+        ("Posted on board one two three four five six {}", 1), ("Posted on board by fox {} about city matters here", 5),
+    ]
+    texts = [f"{kind.format(who)}\nown {words(8, 10 * k + j)}" for k, (kind, n) in enumerate(kinds) for j, who in enumerate(["ann", "bob", "eve", "joe", "kim"][:n])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text.count("Posted") for r in line_dedup.drop_recurring(docs).orderBy("doc_id").collect()]
+    assert got == [1] + [1, 0, 0, 0] + [1, 0, 0] + [1] + [1, 0, 0, 0, 0]
+    assert sorted((r.doc_id, r.n_lines) for r in line_dedup.templates(docs).collect()) == [(1, 3), (5, 2), (9, 4)]
+
+
+def templates_one_by_one(rows, variable):
+    """(doc, line): whether its template is the node's first, and where that starts; of (doc, line, fields) rows at one node."""
+    seeds, out = [], {}
+    for i, line, s in sorted(rows):
+        for number, (j, k, x) in enumerate(seeds):
+            both = sum(a == b == v for a, b, v in zip(s, x, variable, strict=True))
+            if i != j and sum(a == b for a, b in zip(s, x, strict=True)) - both >= 0.7 * (8 - both):
+                out[i, line] = (number == 0, j, k)
+                break
+        else:
+            seeds.append((i, line, s))
+    return out
+
+
+def test_line_dedup_templates_in_order(spark):
+    """Random fields, many alike and some variable, with chains and with documents that repeat themselves, against one line after the other."""
+    r = random.Random(5)
+    word = spark.range(1).select(line_dedup._word(lambda f: line_dedup._byte(F.array(F.lit(line_dedup.VARIABLE)), f))).first()[0]
+    variable = (word % (1 << 64)).to_bytes(8, "little")
+    for few in (True, False):
+        bases, rows = [[r.randrange(6) if r.random() < 0.75 else variable[f] for f in range(8)] for _ in range(3 if few else 40)], []
+        for i in range(150):
+            for line in range(r.randrange(1, 5)):
+                s = list(r.choice(bases))
+                for _ in range(r.randrange(5 if few else 3)):
+                    f = r.randrange(8)
+                    s[f] = r.choice([variable[f], *range(12)])
+                rows.append((i, line, bytes(s)))
+        held = [(i, 1000 - i, line, 8, int.from_bytes(s, "little", signed=True), 7, *[None] * 3) for i, line, s in rows]
+        lines = spark.createDataFrame(held, "i long, row long, line int, n int, s long, leaf long, left long, most long, right long")
+        got = [((x.i, x.line), (x.node == 7, x.seed.i, x.seed.line)) for x in line_dedup._taken(lines)[0].withColumn("i", 1000 - F.col("row")).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == templates_one_by_one(rows, variable)
+        assert sum(not first for _, (first, _, _) in got) > 100
+
+
 # classifier -----------------------------------------------------------------------------------------------------------
 
 
