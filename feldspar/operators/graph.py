@@ -210,19 +210,35 @@ def derived(g: OntologyFrames, *, strict_security: bool = True) -> DataFrame:
     return got.agg(F.when(F.col("aggregation") == "count", count.cast("string")).when(F.col("aggregation") == "sum", total.cast("string")).when(F.col("aggregation") == "collect_list", listed).alias("value"))
 
 
+#: Up to this many nodes are sent whole to each task, so that the links they are looked up in needn't be dealt and sorted.
+SENT_NODES = 100_000
+
+
+def _nodes(df: DataFrame, n: int) -> DataFrame:
+    """The ids of ``df``, which has ``n`` rows, for the right side of a join."""
+    ids = df.select("entity_id")
+    return F.broadcast(ids) if n <= SENT_NODES else ids
+
+
 def traverse(g: OntologyFrames, start: str, depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """reached (entity_id, label, depth) and path (depth, entity_id, link_id): a bounded undirected search.
 
-    Nodes at the last depth aren't expanded; a link between two expanded nodes is listed for each of them.
+    Nodes at the last depth aren't expanded; a link between two expanded nodes is listed for each of them. Levels that
+    are expanded are saved and counted: small ones meet the links as they are read. The last level isn't saved, as only
+    ``reached`` needs it.
     """
     spark, inc = g.entities.sparkSession, incidence(g).select("entity_id", "link_id", "neighbor")
     seen = front = spark.createDataFrame([(start, 0)], "entity_id string, depth int")
+    n = n_seen = 1
     path = None
     for d in range(depth):
-        step = front.join(inc, "entity_id").select(F.lit(d).alias("depth"), "entity_id", "link_id", "neighbor")
+        step = inc.join(_nodes(front, n), "entity_id").select(F.lit(d).alias("depth"), "entity_id", "link_id", "neighbor")  # links on the left: a hub's aren't held
         path = step if path is None else path.unionByName(step)
-        front = step.select(F.col("neighbor").alias("entity_id")).distinct().join(seen, "entity_id", "left_anti").withColumn("depth", F.lit(d + 1))
-        front = checkpointed(front)  # the next level's plan starts from its rows
+        front = step.select(F.col("neighbor").alias("entity_id")).distinct().join(_nodes(seen, n_seen), "entity_id", "left_anti").withColumn("depth", F.lit(d + 1))
+        if d + 1 < depth:
+            front = checkpointed(front)  # the next level's plan starts from its rows
+            n = front.count()
+            n_seen += n
         seen = seen.unionByName(front)
     reached = seen.join(g.entities.select("entity_id", "label"), "entity_id").select("entity_id", "label", "depth")
     empty = spark.createDataFrame([], "depth int, entity_id string, link_id string")

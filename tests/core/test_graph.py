@@ -63,6 +63,26 @@ def test_links_traverse_resolve_receipts(g):
     assert [(r.source_id, r.resolved, r.source_kind, r.span.label) for r in got] == [("s1", True, "markdown", "intro")]
 
 
+def test_traverse_small_levels_meet_links_unsorted(g, spark, monkeypatch):
+    reached, path = graph.traverse(g, "e_shop1", 3)
+    assert "SortMergeJoin" not in path._jdf.queryExecution().executedPlan().toString()  # links aren't dealt and sorted for a few nodes
+    ends = [("a", "hub"), ("hub", "a"), ("hub", "hub"), ("a", "z"), *(("hub", f"n{i}") for i in range(40)), *((f"n{i}", f"m{i % 7}") for i in range(40)), ("x", "y")]
+    links = spark.createDataFrame([(f"l{i}", *e) for i, e in enumerate(ends)], "link_id string, from_id string, to_id string")
+    big = OntologyFrames.of(spark, links=links, entities=spark.createDataFrame([(n, n) for n in sorted({n for e in ends for n in e})], "entity_id string, label string"))
+    depths, expected = {"a": 0}, []
+    for d in range(3):
+        level = [n for n, at in depths.items() if at == d]
+        expected += [(d, n, f"l{i}") for i, e in enumerate(ends) for n in level if n in e]
+        for e in ends:
+            if set(e) & set(level):
+                depths |= {n: d + 1 for n in e if n not in depths}
+    for most in (100_000, 20, 0):  # all levels sent, the hub's neighbours dealt, all dealt
+        monkeypatch.setattr(graph, "SENT_NODES", most)
+        reached, path = graph.traverse(big, "a", 3)
+        assert rows(path) == sorted(expected)
+        assert rows(reached, "entity_id", "depth") == sorted(depths.items())
+
+
 def test_self_loop_and_empty(spark):
     doc = document(links__l1__to="e_mill")
     assert rows(graph.incidence(frames_of(spark, doc)).where("link_id = 'l1'"), "entity_id", "neighbor", "direction") == [("e_mill", "e_mill", "both")]
